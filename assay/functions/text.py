@@ -20,6 +20,12 @@ STRENGTH_ADVERB = {
 }
 
 
+def fixed_point(value: Column, decimals: int) -> Column:
+    """Fixed decimals, rounded on the exact binary value."""
+    pattern = "0." + "0" * decimals if decimals else "0"
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
+
+
 def strength_label(r: Column) -> Column:
     out = F.when(r.isNull(), F.lit(None).cast("string"))
     for bound, label in STRENGTH_STEPS:
@@ -47,19 +53,18 @@ def human_number(value: Column, decimals: int = 2) -> Column:
     num = value.try_cast("double")
     size = F.abs(num)
     sign = F.when(num < 0, "-").otherwise("")
-    fixed = f"%.{decimals}f"
     out = F.when(num.isNull(), F.coalesce(value.cast("string"), F.lit("None"))).when(
         F.isnan(num) | (size == float("inf")), "n/a"
     )
     for bound, suffix in NUMBER_STEPS:
-        out = out.when(size >= bound, F.concat(sign, F.format_string(fixed, size / bound), F.lit(suffix)))
+        out = out.when(size >= bound, F.concat(sign, fixed_point(size / bound, decimals), F.lit(suffix)))
     out = out.when(size == F.floor(size), F.concat(sign, F.floor(size).cast("string")))
-    return out.otherwise(F.concat(sign, F.format_string(fixed, size)))
+    return out.otherwise(F.concat(sign, fixed_point(size, decimals)))
 
 
 def percent(value: Column, decimals: int = 1) -> Column:
     num = value.try_cast("double")
-    return F.when(num.isNull(), "n/a").otherwise(F.format_string(f"%.{decimals}f%%", num * 100))
+    return F.when(num.isNull(), "n/a").otherwise(F.concat(fixed_point(num * 100, decimals), F.lit("%")))
 
 
 def shape_label(skew: Column) -> Column:
@@ -91,4 +96,4 @@ def confidence_color(score: Column) -> Column:
 
 
 def usable_question(question: Column) -> Column:
-    return F.coalesce(F.length(F.trim(question)) >= 5, F.lit(False))
+    return F.coalesce(F.length(F.btrim(question, F.lit(" \t\n\r\f\v"))) >= 5, F.lit(False))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from assay.functions.columns import clean_input, is_numeric
 from assay.functions.hashing import key_text, uniform
+from assay.operators.profile import distinct_counts
 from assay.operators.quantiles import column_quantiles
 from assay.operators.running import running_totals
 from assay.settings import DEFAULTS, Settings
@@ -25,7 +26,7 @@ def _takes_numbers(dt: T.DataType) -> bool:
 
 
 def feature_kinds(df: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """(position, name, n, distinct_count, id_like, kind), one aggregate pass.
+    """(position, name, n, distinct_count, id_like, kind).
 
     kind is numeric, categorical or dropped: identifiers and text with more
     than 30 values are dropped.
@@ -35,20 +36,21 @@ def feature_kinds(df: DataFrame, features: list[str] | None = None) -> DataFrame
     aggs = []
     for i, c in enumerate(features):
         x = F.col(f"`{c}`")
-        whole = F.coalesce(F.bool_and(x % 1 == 0), F.lit(False)) if is_numeric(df.schema[c].dataType) else F.lit(False)
-        aggs += [F.count(x).alias(f"n{i}"), F.count_distinct(x).alias(f"d{i}"), whole.alias(f"w{i}")]
+        whole = F.coalesce(F.bool_and(x % 1 == 0), F.lit(False)) if is_numeric(df.schema[c].dataType) else F.first(F.lit(False))
+        aggs += [F.count(x).alias(f"n{i}"), whole.alias(f"w{i}")]
     cells = F.array(
         *[
             F.struct(
-                F.lit(i).alias("position"), F.lit(c).alias("name"), F.col(f"n{i}").alias("n"),
-                F.col(f"d{i}").alias("distinct_count"), F.col(f"w{i}").alias("whole"),
+                F.lit(c).alias("name"), F.col(f"n{i}").alias("n"), F.col(f"w{i}").alias("whole"),
                 F.lit(c.lower() == "id" or c.lower().endswith("_id")).alias("id_name"),
                 F.lit(_takes_numbers(df.schema[c].dataType)).alias("is_number"),
             )
             for i, c in enumerate(features)
         ]
     )
-    rows = df.agg(*aggs).select(F.explode(cells).alias("c")).select("c.*")
+    facts = df.agg(*aggs).select(F.explode(cells).alias("c")).select("c.*")
+    # One row per column on both sides.
+    rows = distinct_counts(df, features).join(F.broadcast(facts), "name")
     id_like = (
         (F.col("n") >= ID_MIN_ROWS)
         & (F.col("distinct_count") >= ID_DISTINCT_SHARE * F.col("n"))

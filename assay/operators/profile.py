@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from assay.functions.columns import as_time, batched, clean_input, is_datetime, is_numeric
 from assay.operators.quantiles import column_quantiles
@@ -90,11 +92,11 @@ def classify(dt: T.DataType, distinct: int, n_rows: int) -> str:
     return "categorical" if distinct <= category_cap(n_rows) else "text"
 
 
-def _first_pass(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> dict:
+def _moments(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> dict:
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in fields:
         c = F.col(f"`{f.name}`")
-        aggs += [F.count(c).alias(f"f{i}"), F.count_distinct(c).alias(f"d{i}")]
+        aggs.append(F.count(c).alias(f"f{i}"))
         if is_numeric(f.dataType):
             x = c.cast("double")
             aggs += [
@@ -106,6 +108,20 @@ def _first_pass(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> dict:
     return df.agg(*aggs).first().asDict()
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(position, name, distinct_count), nulls left out, exact.
+
+    One branch per column: each reads its column only and shuffles that
+    column's distinct values. Many distinct counts in one aggregate would
+    instead copy every row once per column.
+    """
+    parts = []
+    for i, c in enumerate(columns):
+        one = df.agg(F.count_distinct(F.col(f"`{c}`")).alias("distinct_count"))
+        parts.append(one.select(F.lit(i).alias("position"), F.lit(c).alias("name"), "distinct_count"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def outlier_counts(df: DataFrame, fences: dict[str, tuple[float, float]]) -> dict[str, int]:
     """Values strictly outside 1.5 IQR of the given quartiles; no spread, no outlier."""
     wanted = {c: q for c, q in fences.items() if q[0] is not None and q[1] > q[0]}
@@ -126,8 +142,6 @@ def top_values(df: DataFrame, columns: list[str], k: int = TOP_VALUES) -> DataFr
 
     Meant for categorical columns, whose number of values is capped.
     """
-    from pyspark.sql import Window
-
     text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
     counts = (
         text.unpivot([], columns, "column", "value")
@@ -150,12 +164,14 @@ def column_profile(df: DataFrame, run_id: str = "run", settings: Settings = DEFA
     fields = list(enumerate(df.schema.fields))
     stats: dict = {"n": 0}
     for part in batched(fields, COLUMNS_PER_PASS):
-        stats.update(_first_pass(df, part))
+        stats.update(_moments(df, part))
     n = stats["n"]
-    roles = {f.name: classify(f.dataType, stats[f"d{i}"], n) for i, f in fields}
+    distinct: dict[str, int] = {}
+    for part in batched(df.columns, COLUMNS_PER_PASS):
+        distinct.update({r["name"]: r["distinct_count"] for r in distinct_counts(df, part).collect()})
+    roles = {f.name: classify(f.dataType, distinct[f.name], n) for _, f in fields}
     numeric = [f.name for i, f in fields if roles[f.name] == "numeric" and stats[f"f{i}"] > 0]
     groups = [f.name for _, f in fields if roles[f.name] in ("categorical", "boolean")]
-    distinct = {f.name: stats[f"d{i}"] for i, f in fields}
 
     quart = {
         r["column"]: (r["q0"], r["q1"], r["q2"])

@@ -13,7 +13,7 @@ class Settings:
     outlier_contamination: float = 0.05
     bootstrap_iterations: int = 50
     forest_trees: int = 200
-    forest_depth: int = 12
+    forest_depth: int = 8
     permutation_repeats: int = 8
     confidence_weights: tuple[float, float, float] = (0.3, 0.4, 0.3)
     # None trains on every row; a number switches on the hash sample.
