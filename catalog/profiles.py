@@ -41,8 +41,8 @@ def order_profile(t):
 
 
 EVENT_TEXTS = """
-select event_id, case when value <= 20 then {stamp} else 'unknown' end as event_time,
-       case when value > 30 then {stamp} else 'n/a' end as other_day, value from events
+select event_id, case when event_type <> 'error' then {stamp} else 'unknown' end as event_time,
+       case when event_type = 'click' then {stamp} else 'n/a' end as other_day, value from events
 """
 
 

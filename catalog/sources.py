@@ -149,12 +149,14 @@ def _(t):
 
 @query(
     "b1_shape_check",
-    """select row_count, col_count, case when row_count < 10 then
+    """select name, row_count, col_count, case when row_count < 10 then
          'Dataset has only ' || row_count || ' rows; at least 10 are needed for meaningful analysis.' else '' end as errors
-       from (select count(*) as row_count, 2::bigint as col_count from region)""",
+       from (select 'region' as name, count(*) as row_count, 2::bigint as col_count from region
+             union all select 'lineitem', count(*), 11 from lineitem)""",
 )
 def _(t):
-    return validate.shape_check(t.region).withColumn("errors", joined("errors"))
+    checks = [validate.shape_check(getattr(t, n)).withColumn("name", F.lit(n)) for n in ("region", "lineitem")]
+    return checks[0].unionByName(checks[1]).withColumn("errors", joined("errors"))
 
 
 BLANKED = "select *, nullif(c_name, c_name) as empty_a, case when c_acctbal > 7000 then c_acctbal end as sparse_b from {customer}"

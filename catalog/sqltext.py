@@ -48,7 +48,7 @@ def title(c: str) -> str:
     """Title case of words of letters parted by blanks or underscores."""
     return (
         f"array_to_string(list_transform(string_split(lower(trim(replace({c}, '_', ' '))), ' '), "
-        f"w -> upper(substr(w, 1, 1)) || substr(w, 2)), ' ')"
+        f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')"
     )
 
 
@@ -99,5 +99,5 @@ KEYWORDS = (
 def is_target(c: str, mode: str) -> str:
     words = "[" + ", ".join(f"'{k}'" for k in KEYWORDS) + "]"
     if mode == "substring":
-        return f"len(list_filter({words}, k -> contains(lower({c}), k))) > 0"
+        return f"len(list_filter({words}, lambda k: contains(lower({c}), k))) > 0"
     return f"list_has_any(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), {words})"
