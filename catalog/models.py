@@ -1,0 +1,221 @@
+"""Feature preparation, folds, models and clusters."""
+
+from __future__ import annotations
+
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from assay.operators import charts, clustering, features, supervised
+from assay.plans.run import model_row, select_and_train
+from assay.settings import DEFAULTS
+from catalog.registry import CUSTOMER_GAPS, ORDERS_GAPS, gaps, longs, plain, query, rounded
+from catalog.statistics import FOLD_SCORES
+
+KINDS = [("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_totalprice", True), ("o_orderdate", False), ("o_orderpriority", False)]
+
+
+def _kind_sql() -> str:
+    parts = []
+    for i, (c, number) in enumerate(KINDS):
+        whole = f"coalesce(bool_and({c} % 1 = 0), false)" if number else "false"
+        parts.append(
+            f"select {i} as position, '{c}' as name, count({c}) as n, count(distinct {c}) as d, {whole} as whole, {number} as num from ({plain(ORDERS_GAPS)})"
+        )
+    return f"""select position, name, n, d as distinct_count, id_like, case when id_like then 'dropped' when num then 'numeric'
+                 when d <= 30 then 'categorical' else 'dropped' end as kind
+               from (select *, n >= 20 and d >= 0.95 * n and (whole or name = 'id' or name like '%\\_id' escape '\\') as id_like
+                     from ({' union all '.join(parts)}))"""
+
+
+KIND_SQL = _kind_sql()
+
+
+@query("e1_id_like_columns", f"select name, n, distinct_count, id_like from ({KIND_SQL})")
+def _(t):
+    return features.feature_kinds(gaps(t, ORDERS_GAPS)).select("name", "n", "distinct_count", "id_like")
+
+
+@query("e2_feature_kinds", f"select position, name, kind from ({KIND_SQL})")
+def _(t):
+    return features.feature_kinds(gaps(t, ORDERS_GAPS)).select("position", "name", "kind")
+
+
+@query(
+    "e3_numeric_preparation",
+    f"""with x as ({plain(CUSTOMER_GAPS)}), m as (select quantile_cont(c_acctbal, 0.5) as ma, quantile_cont(c_nationkey::double, 0.5) as mn from x),
+        f as (select c_custkey, coalesce(c_acctbal, ma) as a, coalesce(c_nationkey::double, mn) as b from x, m),
+        s as (select avg(a) as aa, stddev_pop(a) as sa, avg(b) as ab, stddev_pop(b) as sb from f)
+        select c_custkey, round((a - aa) / sa, 6) as c_acctbal, round((b - ab) / sb, 6) as c_nationkey from f, s""",
+)
+def _(t):
+    df = gaps(t, CUSTOMER_GAPS)
+    prep = features.fit_preparation(df, ["c_acctbal", "c_nationkey"], [])
+    return rounded(df.select("c_custkey", *prep.columns()), 6, "c_acctbal", "c_nationkey")
+
+
+SEGMENT_NAMES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")
+
+
+@query(
+    "e4_categorical_preparation",
+    f"""with x as ({plain(CUSTOMER_GAPS)}), m as (select c_mktsegment as top from x where c_mktsegment is not null group by 1 order by count(*) desc, 1 limit 1)
+        select c_custkey, {', '.join(f"(coalesce(c_mktsegment, top) = '{s}')::int::double as is_{s.lower()}" for s in SEGMENT_NAMES)} from x, m""",
+)
+def _(t):
+    df = gaps(t, CUSTOMER_GAPS)
+    prep = features.fit_preparation(df, [], ["c_mktsegment"])
+    out = df.select("c_custkey", *prep.columns())
+    return out.toDF("c_custkey", *[f"is_{c.split('=')[1].lower()}" for c in out.columns[1:]])
+
+
+@query(
+    "e5_prepare_rows",
+    f"""select o_orderkey, o_custkey, o_orderpriority, o_totalprice from ({plain(ORDERS_GAPS)}) where o_totalprice is not null""",
+)
+def _(t):
+    return features.prepare_rows(gaps(t, ORDERS_GAPS), "o_totalprice", ["o_custkey", "o_orderpriority"], ["o_orderkey"])
+
+
+@query(
+    "e6_frequent_classes",
+    """select o_custkey, o_orderkey from orders where o_custkey in (select o_custkey from orders group by 1 having count(*) >= 10)""",
+)
+def _(t):
+    return features.keep_frequent_classes(t.orders.select("o_custkey", "o_orderkey"), "o_custkey", 10)
+
+
+@query(
+    "e7_folds",
+    """select o_orderkey, ((row_number() over (order by md5(o_orderkey::varchar), o_orderkey::varchar) - 1) % 5)::int as fold from orders""",
+)
+def _(t):
+    k = features.fold_count(t.orders.count())
+    return features.assign_folds(t.orders.select("o_orderkey"), ["o_orderkey"], k)
+
+
+@query(
+    "e8_stratified_folds",
+    """select o_orderkey, o_orderpriority, ((row_number() over (partition by o_orderpriority order by md5(o_orderkey::varchar), o_orderkey::varchar) - 1) % 5)::int as fold
+       from orders""",
+)
+def _(t):
+    rows = t.orders.select("o_orderkey", "o_orderpriority")
+    smallest = rows.groupBy("o_orderpriority").count().agg(F.min("count")).first()[0]
+    return features.assign_folds(rows, ["o_orderkey"], features.stratified_fold_count(smallest), "o_orderpriority")
+
+
+def customer_spend(t):
+    """One row per customer: the shape the regression and cluster queries use."""
+    per = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("num_orders"), F.avg("o_totalprice").alias("avg_value"), F.sum("o_totalprice").alias("total_spend")
+    )
+    return t.customer.join(per, "c_custkey").drop("c_name")
+
+
+def labelled_documents(t):
+    return t.labels.join(t.documents.select("doc_id", "lang", "source", "n_chars"), "doc_id")
+
+
+SPEND_FEATURES = ["num_orders", "avg_value", "c_mktsegment", "c_acctbal", "c_nationkey"]
+
+
+@query("e9_regression_scores")
+def _(t):
+    m = supervised.train_regression(customer_spend(t), "total_spend", SPEND_FEATURES, ["c_custkey"], importance=False)
+    return m.cv_scores.withColumn("best", F.col("model") == m.best_model)
+
+
+@query("e10_classification_scores")
+def _(t):
+    m = supervised.train_classification(
+        labelled_documents(t), "quality", ["lang", "source", "n_chars", "toxic"], ["doc_id"], importance=False
+    )
+    return m.cv_scores.withColumn("best", F.col("model") == m.best_model)
+
+
+@query(
+    "e11_best_model",
+    f"""with f as ({plain(FOLD_SCORES)}), m as (select model, avg(score) as mean, stddev_pop(score) as std, count(*) as folds from f group by 1)
+        select model, round(mean, 4) as cv_mean, round(std, 4) as cv_std, folds from m order by mean desc, model limit 1""",
+)
+def _(t):
+    best = supervised.best_model(gaps(t, FOLD_SCORES))
+    return best.select("model", "cv_mean", "cv_std", F.size("scores").cast("long").alias("folds"))
+
+
+def linear_spend(t):
+    """A fitted linear model with its preparation, without the model search."""
+    rows = features.prepare_rows(
+        customer_spend(t).withColumn("_label", F.col("total_spend")), "_label", SPEND_FEATURES, ["c_custkey"]
+    )
+    numeric, categorical = features.split_features(rows, SPEND_FEATURES)
+    prep = features.fit_preparation(rows, numeric, categorical)
+    train = rows.select("_label", prep.vector().alias("_features"))
+    model = LinearRegression(featuresCol="_features", labelCol="_label", standardization=False).fit(train)
+    return supervised.ModelResult(
+        "regression", True, target="total_spend", best_model="LinearRegression", metric="r2", features=SPEND_FEATURES,
+        numeric=numeric, categorical=categorical, preparation=prep, model=model, rows=rows, key=["c_custkey"],
+    )
+
+
+@query("e12_refit_predictions")
+def _(t):
+    m = linear_spend(t)
+    return m.predict(m.rows).select("c_custkey", F.round("prediction", 2).alias("prediction"))
+
+
+@query("e13_permutation_importance")
+def _(t):
+    return supervised.permutation_importance(linear_spend(t))
+
+
+@query("e14_cluster_sweep")
+def _(t):
+    c = clustering.train_clustering(customer_spend(t), ["num_orders", "avg_value", "total_spend"], ["c_custkey"])
+    return c.k_scores.withColumn("best", F.col("k") == c.best_k)
+
+
+@query(
+    "e15_silhouette",
+    """with x as (select c_mktsegment as c, c_acctbal / 1000 as a, c_nationkey::double as b from customer),
+       k as (select c, count(*) as m, sum(a) as sa, sum(b) as sb, sum(a * a + b * b) as q from x group by 1),
+       d as (select x.c, x.a, x.b, k.c as other, k.m, greatest(k.m * (x.a * x.a + x.b * x.b) - 2 * (x.a * k.sa + x.b * k.sb) + k.q, 0.0) as t from x, k),
+       s as (select c, a, b, max(case when other = c then t / (m - 1) end) as inner_d, min(case when other <> c then t / m end) as outer_d from d group by all)
+       select (select count(*) from x) as n, (select count(*) from k) as clusters,
+              round(sum((outer_d - inner_d) / greatest(inner_d, outer_d)) / (select count(*) from x), 4) as silhouette from s""",
+)
+def _(t):
+    df = t.customer.select("c_mktsegment", (F.col("c_acctbal") / 1000).alias("a"), F.col("c_nationkey").alias("b"))
+    return clustering.silhouette(df, "c_mktsegment", ["a", "b"])
+
+
+@query(
+    "e16_cluster_profile",
+    """select c_mktsegment as cluster, round(avg(c_acctbal), 3) as c_acctbal, round(avg(c_nationkey), 3) as c_nationkey from customer group by 1""",
+)
+def _(t):
+    return clustering.cluster_profile(t.customer, "c_mktsegment", ["c_acctbal", "c_nationkey"])
+
+
+@query("e17_cluster_sizes", "select c_mktsegment as cluster, count(*) as n from customer group by 1")
+def _(t):
+    return clustering.cluster_sizes(t.customer, "c_mktsegment")
+
+
+@query("j6_cluster_sizes", "select o_orderstatus as cluster, count(*) as n from orders group by 1")
+def _(t):
+    return clustering.cluster_sizes(t.orders, "o_orderstatus")
+
+
+@query("e18_dispatch")
+def _(t):
+    key, cols = ["s_suppkey"], ["s_suppkey", "s_nationkey", "s_acctbal"]
+    plans = {
+        "descriptive": {"problem_type": "descriptive", "target_column": None, "feature_columns": cols},
+        "regression": {"problem_type": "regression", "target_column": "s_acctbal", "feature_columns": cols},
+    }
+    out = None
+    for name, plan in plans.items():
+        row = model_row(t.spark, select_and_train(t.supplier, plan, key), name)
+        out = row if out is None else out.unionByName(row)
+    return out.select("run_id", "problem_type", "trained", "message", "best_model", "metric_name", "n_samples")

@@ -162,7 +162,7 @@ def _(t):
     return distribution.histogram(gaps(t, LINE_GAPS), ["l_quantity", "l_extendedprice"])
 
 
-SERIES = "select o_orderkey, o_orderdate, case when o_totalprice <= 450000 then o_totalprice end as price from {orders}"
+SERIES = "select o_orderkey, o_orderdate, case when o_totalprice <= 450000 then sqrt(o_totalprice) end as price from {orders}"
 SERIES_SQL = f"""select row_number() over (order by o_orderdate, o_orderkey) - 1 as idx, o_orderdate as ts, price as value, o_orderkey as key
                  from ({plain(SERIES)}) where price is not null and o_orderdate is not null"""
 AVERAGE_SQL = f"""select *, (sum(value) over (order by idx rows between unbounded preceding and current row)) as cs from ({SERIES_SQL})"""
@@ -178,15 +178,15 @@ def _moving(t):
     return trend.moving_average(gaps(t, SERIES), "o_orderdate", "price", "o_orderkey")
 
 
-@query("d13_time_order", f"select idx, strftime(ts, '%Y-%m-%d') as day, value, key from ({SERIES_SQL})")
+@query("d13_time_order", f"select idx, strftime(ts, '%Y-%m-%d') as day, round(value, 6) as value, key from ({SERIES_SQL})")
 def _(t):
     s = trend.time_ordered(gaps(t, SERIES), "o_orderdate", "price", "o_orderkey")
-    return s.select("idx", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value", "key")
+    return rounded(s.select("idx", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value", "key"), 6, "value")
 
 
-@query("d14_moving_average", f"select idx, round(trend, 2) as trend from ({MOVING_SQL})")
+@query("d14_moving_average", f"select idx, round(trend, 6) as trend from ({MOVING_SQL})")
 def _(t):
-    return rounded(_moving(t).select("idx", "trend"), 2, "trend")
+    return rounded(_moving(t).select("idx", "trend"), 6, "trend")
 
 
 @query(
@@ -211,10 +211,10 @@ def _(t):
 
 @query(
     "d17_trend_series",
-    f"""select idx, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, round(value, 2) as value, round(trend, 2) as trend from ({MOVING_SQL})""",
+    f"""select idx, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, round(value, 4) as value, round(trend, 4) as trend from ({MOVING_SQL})""",
 )
 def _(t):
-    return rounded(trend.trend_series(_moving(t)), 2, "value", "trend")
+    return trend.trend_series(_moving(t))
 
 
 SEGMENTS_SQL = f"""select c_mktsegment as segment, count(*) as n, avg(c_acctbal) as mean, quantile_cont(c_acctbal, 0.5) as median,
@@ -287,7 +287,10 @@ def _(t):
     return t.part.select("p_partkey", fmt.titleize(raw).alias("title"))
 
 
-SCALED = "case when o_orderkey % 5 = 0 then -o_totalprice when o_orderkey % 5 = 1 then o_totalprice * 1000 when o_orderkey % 5 = 2 then o_totalprice / 1000 when o_orderkey % 5 = 3 then o_orderkey % 1000 else o_totalprice * 10000000 end"
+SCALED = (
+    "case o_orderpriority when '1-URGENT' then -o_totalprice when '2-HIGH' then o_totalprice * 1000 "
+    "when '3-MEDIUM' then o_totalprice / 1000 when '5-LOW' then o_custkey else o_totalprice * 10000000 end"
+)
 
 
 @query(
@@ -347,7 +350,7 @@ def _(t):
     return charts.importance_bars(scores)
 
 
-FOLD_SCORES = "select c_mktsegment as model, c_nationkey % 5 as fold, avg(c_acctbal) / 10000 as score from {customer} group by c_mktsegment, c_nationkey % 5"
+FOLD_SCORES = "select c_mktsegment as model, c_nationkey as fold, avg(c_acctbal) / 10000 as score from {customer} group by c_mktsegment, c_nationkey"
 
 
 @query(
@@ -362,11 +365,11 @@ def _(t):
 
 @query(
     "j5_trend_by_period",
-    f"""select strftime(date_trunc('month', ts), '%Y-%m-%d') as period, round(avg(value), 2) as value, round(avg(trend), 2) as trend, count(*) as n
+    f"""select strftime(date_trunc('month', ts), '%Y-%m-%d') as period, round(avg(value), 4) as value, round(avg(trend), 4) as trend, count(*) as n
         from ({MOVING_SQL}) group by 1""",
 )
 def _(t):
-    return rounded(trend.trend_by_period(_moving(t)), 2, "value", "trend")
+    return rounded(trend.trend_by_period(_moving(t)), 4, "value", "trend")
 
 
 @query(
