@@ -44,7 +44,7 @@ def sniff_delimiter(lines: list[str]) -> str:
 
 def sniff_encoding(text: DataFrame) -> str:
     """UTF-8 unless some line holds bytes that are not; the probe stops at the first."""
-    broken = text.where(F.contains("value", F.lit("�"))).take(1)
+    broken = text.where(~F.is_valid_utf8("value")).take(1)
     return "ISO-8859-1" if broken else "UTF-8"
 
 
