@@ -39,6 +39,15 @@ def clean_input(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def varies(c: Column) -> Column:
+    """Aggregate: the column takes more than one value.
+
+    The exact test for a constant: merged variances of a constant column can
+    come out as a tiny positive number.
+    """
+    return F.coalesce(F.min(c) < F.max(c), F.lit(False))
+
+
 def as_number(df: DataFrame, name: str) -> Column:
     """The column as DOUBLE; text that is no number becomes null."""
     dt = df.schema[name].dataType

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assay.functions.columns import as_number, batched, clean_input, numeric_columns
+from assay.functions.columns import as_number, batched, clean_input, numeric_columns, varies
 from assay.functions.pvalues import correlation_p
 from assay.functions.text import strength_label
 
@@ -52,7 +52,7 @@ def _column_facts(numbers: DataFrame) -> dict[str, dict]:
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(numbers.columns):
         x = F.col(f"`{c}`")
-        aggs += [F.count(x).alias(f"f{i}"), F.avg(x).alias(f"m{i}"), (F.min(x) < F.max(x)).alias(f"v{i}")]
+        aggs += [F.count(x).alias(f"f{i}"), F.avg(x).alias(f"m{i}"), varies(x).alias(f"v{i}")]
     row = numbers.agg(*aggs).first()
     return {
         c: {"n": row["n"], "full": row[f"f{i}"] == row["n"], "mean": row[f"m{i}"] or 0.0, "varies": bool(row[f"v{i}"])}
@@ -72,13 +72,16 @@ def _pair_terms(i: int, a: str, b: str, facts: dict, aggs: dict[str, Column]) ->
         aggs[f"square {a}"], aggs[f"square {b}"] = F.sum(dx * dx), F.sum(dy * dy)
         aggs[f"xy{i}"] = F.sum(dx * dy)
         xx, yy = F.col(f"`square {a}`"), F.col(f"`square {b}`")
+        ok = (xx > 0) & (yy > 0)
     else:
         aggs |= {
-            f"n{i}": F.regr_count(x, y), f"xy{i}": F.regr_sxy(x, y), f"xx{i}": F.regr_syy(x, y), f"yy{i}": F.regr_sxx(x, y)
+            f"n{i}": F.regr_count(x, y), f"xy{i}": F.regr_sxy(x, y), f"xx{i}": F.regr_syy(x, y), f"yy{i}": F.regr_sxx(x, y),
+            f"ok{i}": varies(F.when(y.isNotNull(), x)) & varies(F.when(x.isNotNull(), y)),
         }
+        ok = F.col(f"ok{i}")
         n, xx, yy = F.coalesce(f"n{i}", F.lit(0)).cast("long"), F.col(f"xx{i}"), F.col(f"yy{i}")
     r = F.try_divide(F.col(f"xy{i}"), F.sqrt(xx) * F.sqrt(yy))
-    return n, F.when((xx > 0) & (yy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return n, F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def strongest_first(r: Column) -> list[Column]:
@@ -120,13 +123,13 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
             )
         ).alias("c")
     ).select("c.*")
-    spread = df.agg(*[F.stddev_pop(as_number(df, c)).alias(f"s{i}") for i, c in enumerate(columns)])
+    spread = df.agg(*[varies(as_number(df, c)).alias(f"s{i}") for i, c in enumerate(columns)])
     diagonal = spread.select(
         F.explode(
             F.array(
                 *[
                     F.struct(
-                        F.lit(c).alias("a"), F.lit(c).alias("b"), F.when(F.col(f"s{i}") > 0, 1.0).alias("correlation")
+                        F.lit(c).alias("a"), F.lit(c).alias("b"), F.when(F.col(f"s{i}"), 1.0).alias("correlation")
                     )
                     for i, c in enumerate(columns)
                 ]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from assay.functions.columns import clean_input, is_numeric
+from assay.functions.columns import clean_input, is_numeric, varies
 from assay.functions.hashing import key_text, uniform
 from assay.operators.profile import distinct_counts
 from assay.operators.quantiles import column_quantiles
@@ -109,7 +109,7 @@ def fit_preparation(
         aggs = []
         for i, (c, median) in enumerate(known.items()):
             x = F.coalesce(F.col(f"`{c}`"), F.lit(median))
-            aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
+            aggs += [F.avg(x).alias(f"m{i}"), F.when(varies(x), F.stddev_pop(x)).otherwise(0.0).alias(f"s{i}")]
         row = numbers.agg(*aggs).first()
         moments = {c: (m, row[f"m{i}"], row[f"s{i}"]) for i, (c, m) in enumerate(known.items())}
     levels: dict[str, tuple[str, list[str]]] = {}

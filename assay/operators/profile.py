@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from assay.functions.columns import as_time, batched, clean_input, is_datetime, is_numeric
+from assay.functions.columns import as_time, batched, clean_input, is_datetime, is_numeric, varies
 from assay.operators.quantiles import column_quantiles
 from assay.settings import DEFAULTS, Settings
 
@@ -54,7 +54,7 @@ PROFILE_SCHEMA = T.StructType(
 def sample_skew(c: Column) -> Column:
     """Bias-corrected skewness; 0 for two values or fewer and for constants."""
     n = F.count(c)
-    g1 = F.coalesce(F.skewness(c), F.lit(0.0))
+    g1 = F.when(varies(c), F.skewness(c)).otherwise(0.0)
     return F.when(n > 2, F.try_divide(g1 * F.sqrt(n * (n - 1.0)), n - F.lit(2.0))).otherwise(0.0)
 
 
@@ -196,7 +196,7 @@ def column_profile(df: DataFrame, run_id: str = "run", settings: Settings = DEFA
             q1, median, q3 = quart[c]
             row.update(
                 min=stats[f"lo{i}"], max=stats[f"hi{i}"], mean=stats[f"m{i}"], median=median,
-                std=stats[f"s{i}"] or 0.0, skew=stats[f"g{i}"], q1=q1, q3=q3, outlier_count=outliers[c],
+                std=stats[f"s{i}"] or 0.0 if stats[f"lo{i}"] < stats[f"hi{i}"] else 0.0, skew=stats[f"g{i}"], q1=q1, q3=q3, outlier_count=outliers[c],
             )
         elif role == "datetime":
             row.update(min_date=stats[f"lo{i}"], max_date=stats[f"hi{i}"])

@@ -230,3 +230,23 @@ def test_box_whiskers_stay_within_the_fences(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4, 5, 100]], "v double")
     b = charts.box_table(df, ["v"]).first()
     assert (b["max"], b["upper_whisker"], b["lower_whisker"], b["median"]) == (100.0, 5.0, 1.0, 3.5)
+
+
+def test_constants_are_seen_as_constants_over_many_partitions(spark):
+    """Merged variances of 0.1 are not exactly zero; the operators must not care."""
+    from assay.operators.features import fit_preparation
+    from assay.operators.profile import column_profile
+
+    df = spark.range(301).select(
+        "id", F.lit(0.1).alias("flat"), F.when(F.col("id") % 2 == 0, 0.1).alias("holes"), F.rand(2).alias("x"),
+        F.expr("timestamp'2024-01-01' + make_interval(0,0,0,id)").alias("ts"), F.lit("s").alias("s"),
+    ).repartition(7).persist()
+    assert not any("flat" in k or "holes" in k for k in pairs(df))
+    p = {r["name"]: r for r in column_profile(df).collect()}
+    assert p["flat"]["std"] == 0.0 and p["holes"]["skew"] == 0.0
+    m = {r["column"]: r for r in distribution.moments(df, ["flat", "holes"]).collect()}
+    assert m["flat"]["kurtosis"] == 0.0 and m["holes"]["skew"] == 0.0
+    s = trend.trend_summary(trend.moving_average(df, "ts", "flat", "id")).first()
+    assert s["direction"] == "flat" and s["p_value"] == 1.0
+    assert fit_preparation(df, ["flat"], []).numeric["flat"][2] == 0.0
+    assert confidence.bootstrap_correlations(df, ["id"], "x", "flat").count() == 0
