@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from assay.functions.columns import as_number
 from assay.operators.running import running_totals
@@ -90,8 +92,9 @@ def _bracketed(long: DataFrame, groups: list[str], value: str, probs: list[float
             )
         ).alias("t"),
     ).select(*groups, "_n", "t.*")
-    rows = targets.collect() if targets.count() <= _MAX_BRACKET_GROUPS * len(probs) else None
-    if rows is None:
+    most = _MAX_BRACKET_GROUPS * len(probs)
+    rows = targets.limit(most + 1).collect()
+    if len(rows) > most:
         ranked = running_totals(value_counts(long, groups, value), [value], {"upto": F.col("n")}, groups)
         small = targets.select(*[F.col(g).alias(f"_t_{g}") for g in groups], "_n", "i", "p")
         on = F.lit(True)
@@ -174,5 +177,13 @@ def column_quantiles(
     if not columns:
         schema = "column string, " + ", ".join(f"{q} double" for q in _names(probs))
         return df.sparkSession.createDataFrame([], schema)
-    bound = None if distinct is None else max(distinct[c] for c in columns)
-    return exact_quantiles(long_numbers(df, columns), ["column"], "value", probs, settings, bound)
+    if distinct is None:
+        return exact_quantiles(long_numbers(df, columns), ["column"], "value", probs, settings)
+    # Columns with few values stay on the cheap way even next to a wide one.
+    small = [c for c in columns if distinct[c] <= settings.direct_quantile_values]
+    parts = [
+        exact_quantiles(long_numbers(df, part), ["column"], "value", probs, settings, max(distinct[c] for c in part))
+        for part in (small, [c for c in columns if c not in small])
+        if part
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -14,8 +14,7 @@ def running_totals(
 
     Rows are range-partitioned on (groups, order), so a hot group spreads over
     many tasks as long as ``order`` tells its rows apart. Each partition sums
-    its own rows; one small table (a row per partition and group) carries the
-    totals that lie before it. The placed rows are written out first because
+    its own rows; one small table carries the totals that lie before it. The placed rows are written out first because
     range bounds are sampled anew on every execution.
     """
     groups = groups or []
@@ -24,28 +23,23 @@ def running_totals(
         .repartitionByRange(*groups, *order)
         .withColumn("_part", F.spark_partition_id())
     )
-    earlier = (
-        Window.partitionBy(*groups, F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        placed.groupBy(*groups, "_part")
-        .agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
-        .select(*groups, "_part", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums])
-    )
+    earlier = Window.partitionBy(*groups, F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = placed.groupBy(*groups, "_part").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
+    # Only the group a partition starts with can have rows before it, so at most
+    # one row per partition is left to broadcast, whatever the number of groups.
+    offsets = per_part.select(
+        *[F.col(g).alias(f"_r_{g}") for g in groups],
+        F.col("_part").alias("_r_part"),
+        F.count(F.lit(1)).over(earlier).alias("_earlier"),
+        *[F.sum(f"_{n}").over(earlier).alias(f"_before_{n}") for n in sums],
+    ).where(F.col("_earlier") > 0)
+    on = F.col("_part") == F.col("_r_part")
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
     within = (
         Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = placed.join(F.broadcast(offsets), on=[*groups, "_part"], how="inner") if not groups else _null_safe(
-        placed, offsets, [*groups, "_part"]
-    )
-    return joined.select(
-        *df.columns, *[(F.sum(f"_{n}").over(within) + F.col(f"_before_{n}")).alias(n) for n in sums]
+    return placed.join(F.broadcast(offsets), on, "left").select(
+        *df.columns,
+        *[(F.sum(f"_{n}").over(within) + F.coalesce(f"_before_{n}", F.lit(0))).alias(n) for n in sums],
     )
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
-    on = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(renamed[f"_r_{k}"])
-    return left.join(F.broadcast(renamed), on, "inner").drop(*[f"_r_{k}" for k in keys])

@@ -204,11 +204,10 @@ def _(t):
 
 @query(
     "b6_usable_question",
-    """select role, count(*) as n, count(*) filter (where length(trim(split_part(text, ' ', 1), E' \\t\\n\\r\\f\\v')) >= 5) as usable
+    """select role, count(*) as n, count(*) filter (where length(trim(text, E' \\t\\n\\r\\f\\v')) >= 5) as usable
        from conversations group by role""",
 )
 def _(t):
-    first_word = F.split_part("text", F.lit(" "), F.lit(1))
     return t.conversations.groupBy("role").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(usable_question(first_word)).alias("usable")
+        F.count(F.lit(1)).alias("n"), F.count_if(usable_question(F.col("text"))).alias("usable")
     )

@@ -121,7 +121,7 @@ def test_moving_average_matches_pandas(spark, n):
     got = trend.moving_average(df, "ts", "value", "key").orderBy("idx").toPandas()
     w = max(3, n // 10)
     ordered = pdf.sort_values(["ts", "key"])["value"].reset_index(drop=True)
-    assert list(got["key"]) == list(range(n))
+    assert np.allclose(got["value"], ordered) and list(got["idx"]) == list(range(n))
     assert np.allclose(got["trend"], ordered.rolling(w, center=True, min_periods=1).mean())
     s = trend.trend_summary(trend.moving_average(df, "ts", "value", "key")).first()
     slope = np.polyfit(np.arange(n), ordered, 1)[0]
