@@ -28,12 +28,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work on a table read as few partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, rows: int, small: int = 5_000_000) -> DataFrame:
+    """All cores for heavy per-row work on a small table, which one file may
+    have put into a single partition; a large table keeps its partitions."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if rows < small else df
 
 
 def fitted(df: DataFrame, rows: int, per_partition: int = 50_000) -> DataFrame:
-    """Fewer partitions for a small table, so that iterative jobs stay short."""
-    return df.coalesce(max(1, rows // per_partition)) if rows < per_partition * df.rdd.getNumPartitions() else df
+    """Few partitions for a small table, so that iterative jobs stay short."""
+    wanted = max(1, rows // per_partition)
+    return df.coalesce(wanted) if wanted < df.sparkSession.sparkContext.defaultParallelism else df
