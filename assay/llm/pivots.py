@@ -20,8 +20,12 @@ from assay.llm.blocks import by_block, pairs_in_block, to_blocks
 from assay.llm.common import arrow_stage, local_roots, stored
 from assay.llm.graph import components
 
-#: Reference points: a sample of this many vectors at most, whatever the input.
+#: Reference points: this many vectors at most, whatever the input, taken from a
+#: sample of ``SAMPLE``. No two are closer than ``APART`` (cosine), so a large
+#: group of near copies gets one pivot and not many between which ranks waver.
 PIVOTS = 256
+SAMPLE = 2048
+APART = 0.7
 
 
 def _usable(vector) -> np.ndarray | None:
@@ -38,7 +42,8 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(vectors: DataFrame, embedding: str, number: int = PIVOTS) -> list[np.ndarray]:
-    """At most ``number`` usable vectors, chosen by a hash of their values."""
+    """At most ``number`` usable vectors in the order of a hash of their values,
+    each at a distance from those before it."""
     sample = (
         vectors.where(F.col(embedding).isNotNull() & (F.size(embedding) > 0))
         .select(F.col(embedding).alias("v"))
@@ -46,9 +51,17 @@ def choose_pivots(vectors: DataFrame, embedding: str, number: int = PIVOTS) -> l
         .select("v", F.xxhash64("v").alias("h"))
         .dropDuplicates(["h"])
         .orderBy("h")
-        .limit(number)
+        .limit(SAMPLE)
     )
-    return [_unit(v) for r in sample.collect() if (v := _usable(r["v"])) is not None]
+    chosen: list[np.ndarray] = []
+    for row in sample.collect():
+        v = _usable(row["v"])
+        if v is None or len(chosen) >= number:
+            continue
+        v = _unit(v)
+        if all(len(p) != len(v) or p @ v < APART for p in chosen):
+            chosen.append(v)
+    return chosen
 
 
 def _describe(pivots: list[np.ndarray], nearest: int, precision: str):

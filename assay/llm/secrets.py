@@ -25,7 +25,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "token")
 _LONG_WORD = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_MIXED = re.compile(r"(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])", re.DOTALL)
+_MIXED = re.compile(r"(?=.*[A-Z])(?=.*[0-9])", re.DOTALL)
 
 
 def entropy(value: str) -> float:
@@ -43,7 +43,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def token_spans(text: str, taken: list[tuple[int, int, int, str]], least_bits: float) -> list[tuple[int, int, int, str]]:
-    """Long words that mix cases and digits at high entropy, apart from ``taken``."""
+    """Long words of capitals and digits, and maybe more, at high entropy, apart from ``taken``."""
     out = []
     for m in _LONG_WORD.finditer(text):
         if _MIXED.match(m[0]) and entropy(m[0]) >= least_bits and all(m.end() <= s[0] or s[2] <= m.start() for s in taken):
@@ -54,7 +54,7 @@ def token_spans(text: str, taken: list[tuple[int, int, int, str]], least_bits: f
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("stop", pa.int64()), ("value", pa.binary())])
 
 
-def scan(docs: DataFrame, columns: list[str], text: str = "text", least_bits: float = 3.5) -> DataFrame:
+def scan(docs: DataFrame, columns: list[str], text: str = "text", least_bits: float = 3.0) -> DataFrame:
     """``columns``, ``uid`` (a number of the row), the listed spans' counts and
     digest, and ``found``: every candidate with a 128-bit digest of its value."""
     rows = docs.select(*columns, F.col(text).alias("_text"))
@@ -96,7 +96,7 @@ def ownership(candidates: DataFrame, min_owners: int, min_repositories: int) ->
 
 def find_secrets(
     docs: DataFrame, row_id: str = "doc_id", text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"),
-    min_owners: int = 3, min_repositories: int = 6, least_bits: float = 3.5, with_columns: tuple[str, ...] = (),
+    min_owners: int = 3, min_repositories: int = 6, least_bits: float = 3.0, with_columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """``row_id``, counts and digest of the listed spans and ``secrets``: an
     array of ``(start, kind, stop, live)`` by start and kind.

@@ -29,7 +29,9 @@ UNWANTED = (
 WANTED = (
     "news", "weather", "library", "museum", "school", "history", "science", "travel", "kitchen", "garden", "docs", "forum", "journal", "archive",
     "recipes", "football", "music", "health", "energy", "theatre", "other", "thing", "nation", "tables", "stories", "station", "within", "another",
-    "rather", "tree",
+    "rather", "tree", "that", "this", "these", "thanks", "thought", "the-hat", "father", "mother", "hands", "strand", "stone", "instant", "honest",
+    "whale", "white", "where", "when", "winter", "water", "ocean", "reading", "writing", "engine", "ancient", "month", "north", "south", "earth",
+    "shelter", "fresh", "ground", "around", "thunder", "north-sea", "old-town", "open-data",
 )
 SHAPES = (
     "http://{}.example.com/en/12", "https://www.{}.example.org/de/345/", "https://blog.{}.example.com/fr/67.html", "http://m.{}.example.org/es/8?page=2&ref=x",
