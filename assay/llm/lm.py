@@ -31,7 +31,9 @@ END = b"\n"
 STEPS = 24
 #: Tokens that a task gathers, and tokens per shard.
 TOKENS_AT_ONCE = 1 << 20
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_500_000
+#: Look-ups that are answered side by side.
+AT_ONCE = 1 << 18
 _DOC_BITS, _WORD_BITS = 15, 24
 
 
@@ -197,6 +199,13 @@ class Trie:
 
     def look_up(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Quantised log10 of the smoothed count of (word number, context), NaN if unseen."""
+        out = np.full(len(word), np.nan)
+        for start in range(0, len(word), AT_ONCE):
+            part = slice(start, start + AT_ONCE)
+            out[part] = self._look_up(word[part], context[part])
+        return out
+
+    def _look_up(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
         out = np.full(len(word), np.nan)
         first, last = (self.pointers.value(word + i).astype(np.int64) - word - i for i in (0, 1))
         inside = np.flatnonzero((context < self.span[word]) & (first < last))
@@ -213,17 +222,17 @@ def _score(total: int, distinct: int, frequent: dict[int, int], mu: float):
     def merged(table: pa.Table, values: str, index: str):
         tables = [np.frombuffer(b, np.uint64) for b in table.column(values).to_pylist()]
         unique = np.unique(np.concatenate(tables))
-        places = [np.searchsorted(unique, t)[np.frombuffer(b, np.uint32)] for t, b in zip(tables, table.column(index).to_pylist())]
+        places = [np.searchsorted(unique, t).astype(np.int32)[np.frombuffer(b, np.uint32)] for t, b in zip(tables, table.column(index).to_pylist())]
         return unique, np.concatenate(places)
 
     def run(table: pa.Table) -> pa.Table:
         words, word = merged(table, "words", "word_at")
         contexts, context = merged(table, "contexts", "context_at")
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32).astype(np.int64)
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
         docs, doc, start = [], [], 0
         for places, ids, held, at in zip(*[table.column(c).to_pylist() for c in ("places", "ids", "held", "doc_at")]):
             docs.append((np.frombuffer(places, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(held, np.uint8)))
-            doc.append(np.frombuffer(at, np.uint16).astype(np.int64) + start)
+            doc.append(np.frombuffer(at, np.uint16).astype(np.int32) + np.int32(start))
             start += len(docs[-1][0])
         place, name, held = (np.concatenate(x) for x in zip(*docs))
         doc = np.concatenate(doc)
@@ -233,15 +242,17 @@ def _score(total: int, distinct: int, frequent: dict[int, int], mu: float):
         if len(often):
             at = np.minimum(np.searchsorted(often, words), len(often) - 1)
             known = np.where(often[at] == words, often_counts[at], known)
-        pairs, pair = np.unique(word * len(contexts) + context, return_inverse=True)
+        pairs, pair = np.unique(word.astype(np.int64) * len(contexts) + context, return_inverse=True)
+        del context
         seen = np.bincount(pair, learnt, len(pairs)).astype(np.int64)
         prior = mu * (known + 1) / (total + distinct + 1)
         of_word, of_context = pairs // len(contexts), pairs % len(contexts)
         kept = np.flatnonzero(seen)
         trie = Trie(words, of_word[kept], of_context[kept], seen[kept] + prior[of_word[kept]])
         found = trie.look_up(trie.words.find(words)[of_word], of_context)
-        smoothed = np.where(np.isnan(found), np.log10(prior[of_word]), found)
-        values = smoothed[pair] - np.log10(known + mu)[word]
+        values = np.where(np.isnan(found), np.log10(prior[of_word]), found)[pair]
+        del pairs, pair, seen, of_word, of_context, kept, found, trie
+        values -= np.log10(known + mu)[word]
         n = len(place)
         return pa.table({
             "place": place, "id": pa.array(name, mask=name == -(1 << 63)), "n_tokens": np.bincount(doc, counts, n).astype(np.int64),
