@@ -87,7 +87,7 @@ def features(host: str, path: str, sizes: tuple[int, ...], buckets: int) -> np.n
     return np.unique(np.array([xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % buckets for g in grams], np.int64))
 
 
-def fit(hosts: list[str], paths: list[str], labels: list[int], sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 16, l2: float = 1.0, rounds: int = 300) -> UrlModel:
+def fit(hosts: list[str], paths: list[str], labels: list[int], sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 16, l2: float = 0.05, rounds: int = 800) -> UrlModel:
     """Batch gradient steps with momentum on the regularised logistic loss."""
     rows = [features(h, p, sizes, buckets) for h, p in zip(hosts, paths)]
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])

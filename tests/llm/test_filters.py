@@ -1,0 +1,126 @@
+"""URL filter, secret scan, quality rules and the pipeline."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from assay.llm import quality, secrets, urls
+from tests.llm.conftest import ROWS, words
+
+
+def test_urls(llm_spark):
+    listed = ["http://X.Example.NET/en/1?q#f", "http://a.net", "https://net/x", "ftp://example.com/de/1", "http://example.com/deep", "http://a.org/fr/", "http://aorg/fr/", "no scheme", None, "", "://", "http://casino-king.example.com/en/3", "http://school-library.example.com/en/3"]
+    model = urls.train_url_model(llm_spark.createDataFrame(urls.labelled_urls(), "url string, label int"))
+    df = llm_spark.createDataFrame(list(enumerate(listed)), "page_id long, url string").withColumn("host", F.lit("own")).withColumn("_id", F.lit(1))
+    got = {r["page_id"]: r for r in urls.judge_urls(df, model).collect()}
+    rules = ["example.net/en/", None, "net/", "example.com/de/", None, "org/fr/", None, None, None, None, None, None, None]
+    for i, u in enumerate(listed):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        assert (got[i]["host"], got[i]["path"]) == ((m[1].lower(), m[2]) if m else ("", "")), u
+        assert got[i]["rule"] == rules[i]
+        if rules[i]:
+            assert got[i]["verdict"] == dict(urls.RULES)[rules[i]]
+    assert got[11]["verdict"] == "block" and got[12]["verdict"] == "allow"
+    assert urls.judge_urls(df.limit(0), model).count() == 0
+
+
+def test_url_model_generalises():
+    rows = urls.labelled_urls()
+    parts = [re.match(r"^.*?://([^/?#]*)([^?#]*)", u).groups() for u, _ in rows]
+    train = [i for i in range(len(rows)) if i % 5]
+    model = urls.fit([parts[i][0] for i in train], [parts[i][1] for i in train], [rows[i][1] for i in train])
+    test = [i for i in range(len(rows)) if i % 5 == 0]
+    scores = model.scores([parts[i][0] for i in test], [parts[i][1] for i in test])
+    assert sum((s > 0) == bool(rows[i][1]) for s, i in zip(scores, test)) >= 0.95 * len(test)
+
+
+def plain_spans(x):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", x, re.I | re.A) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def test_secrets(odd, empty, llm_spark):
+    copied, own = "9233A8ECF7C5B09FE5949719B6B82BC4", "0123A8ECF7C5B09FE5949719B6B82BC9"
+    more = [(20 + i, "en", f"s{i}", f'é API_KEY="sample.key.123" {copied} ﬁn') for i in range(4)] + [(30, "en", "s9", f"token: token: abcdefgh {own} paſſword=abcdefg")]
+    df = llm_spark.createDataFrame(ROWS + more, "doc_id long, lang string, source string, text string")
+    rows = secrets.find_secrets(df).withColumn("spans", secrets.spans_text(F.col("secrets"))).collect()
+    digest = lambda s: hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in s).encode()).hexdigest()
+    want = Counter((r[0], *[sum(s[1] == k for s in plain_spans(r[3] or "")) for k in range(3)], digest(plain_spans(r[3] or ""))) for r in ROWS + more)
+    assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in rows) == want
+    by = {r["doc_id"]: r for r in rows}
+    assert "token:" not in by[20]["spans"] and not any(s["live"] for s in by[20]["secrets"])
+    assert "token:23:55" in by[30]["spans"]
+    text = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert text[20] == more[0][3] and own not in text[30] and "hunter22" not in text[7] if text[7].startswith("pass") else True
+    assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).count() == len(ROWS)
+    assert secrets.find_secrets(empty).count() == 0
+
+
+def plain_measures(x):
+    w = words(x)
+    windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    often, covered = Counter(windows), set()
+    for i, v in enumerate(windows):
+        if often[v] > 1:
+            covered.update(range(i, i + 8))
+    ls = [l for l in (x or "").split("\n") if words(l)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x or "")), len(ls) - len(set(ls)), len(covered)
+
+
+def test_quality(odd, empty, llm_spark):
+    more = [(50, "en", "a", "tail one two three four five six seven " * 2 + "and then " + "\n".join(["same line"] * 4)), (51, "en", "a", "##$$ %% && | < > * word " * 9)]
+    df = llm_spark.createDataFrame(ROWS + more, "doc_id long, lang string, source string, text string")
+    got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.judge(df, ["doc_id"]).collect())
+    want = Counter()
+    for r in ROWS + more:
+        m = plain_measures(r[3])
+        want[(r[0], *m, m[0] < 20 or 100 * m[4] > 30 * m[0])] += 1
+    assert got == want
+    assert quality.judge(empty, ["doc_id"]).count() == 0
+    assert quality.keep_good(odd).columns == odd.columns
+
+
+def test_quality_thresholds_follow_the_group(llm_spark):
+    clean = [(i, lang, "s", " ".join(["word" if lang == "en" else "verylongword"] * 1 + [f"w{j}{i}" if lang == "en" else f"langeswort{j}{i}" for j in range(30)])) for i in range(150) for lang in ("en", "de")]
+    junk = [(1000 + i, "en", "s", " ".join(f"a{j}%%%" for j in range(40))) for i in range(5)]
+    df = llm_spark.createDataFrame(clean + junk, "doc_id long, lang string, source string, text string")
+    kept = {r["doc_id"] for r in quality.keep_good(df).collect()}
+    assert kept == set(range(150))
+    parts = [quality.sketch(quality.measure(x, ["lang"]), ["lang"]) for x in (df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1"), df)]
+    merged = parts[0].unionByName(parts[1]).groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, merged.collect()), key=str) == sorted(map(tuple, parts[2].collect()), key=str)
+
+
+def test_quality_runs_without_python(llm_spark):
+    df = llm_spark.createDataFrame(ROWS, "doc_id long, lang string, source string, text string")
+    assert not re.search("Python|Pandas|Arrow", quality.judge(df, ["doc_id"])._jdf.queryExecution().toString())
+
+
+def test_pipeline(llm_spark):
+    folder = "/root/testdata/sf0.001"
+    docs = entry.llm.table(llm_spark, folder, "documents")
+    columns = docs.columns
+    ids = {r[0] for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(llm_spark, docs, folder)
+        assert docs.columns == columns, name
+        now = {r[0] for r in docs.select("doc_id").collect()}
+        assert now and now <= ids, name
+        ids = now
+    packed = corpus_pipeline.STAGES[-1][1](llm_spark, docs, folder)
+    assert {r[0] for r in packed.select("doc_id").collect()} == ids
+    assert "pipeline" in entry.queries()
+
+
+@pytest.mark.parametrize("position", range(4))
+def test_stages_take_odd_and_empty_tables(odd, empty, llm_spark, position):
+    stage = corpus_pipeline.STAGES[position][1]
+    assert stage(llm_spark, empty, "").columns == empty.columns
+    assert stage(llm_spark, odd, "").columns == odd.columns
+    stage(llm_spark, odd, "").collect()
