@@ -132,7 +132,7 @@ def _frequent(table: DataFrame, least: int) -> dict[int, int]:
     return {r["word"] % (1 << 64): r["n"] for r in rows}
 
 
-_TOKENS = "shard int, words binary, word_at binary, contexts binary, context_at binary, places binary, ids binary, held binary, doc_at binary, counts binary"
+_TOKENS = "shard int, portion long, words binary, word_at binary, contexts binary, context_at binary, places binary, ids binary, held binary, doc_at binary, counts binary"
 
 
 def _deal(shards: int, frequent: dict[int, int]):
@@ -142,6 +142,7 @@ def _deal(shards: int, frequent: dict[int, int]):
     def run(batches):
         base = TaskContext.get().partitionId() << 40
         names: list = []
+        portion = base
 
         def noted(source):
             for batch in source:
@@ -172,11 +173,24 @@ def _deal(shards: int, frequent: dict[int, int]):
                 c, c_at = np.unique(context[at], return_inverse=True)
                 d, d_at = np.unique(doc[at], return_inverse=True)
                 data = (hashes[w], w_at.astype(np.uint32), hashes[c], c_at.astype(np.uint32), place[d], name[d], held[d], d_at.astype(np.uint16), counts[at].astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in data]], [f.split()[0] for f in _TOKENS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([portion], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in data]], [f.split()[0] for f in _TOKENS.split(", ")])
+            portion += 1
 
     return run
 
 
+_SUMS = {"place": np.int64, "id": np.int64, "n_tokens": np.int64, "n_known": np.int64, "base": np.float64, "score": np.float64}
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """The sums of a portion's texts over all shards."""
+    place, name, *sums = (np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in _SUMS.items())
+    place, first, text = np.unique(place, return_index=True, return_inverse=True)
+    name = name[first]
+    added = [np.bincount(text, x, len(place)).astype(x.dtype) for x in sums]
+    return pa.table({"place": place, "id": pa.array(name, mask=name == -(1 << 63))} | dict(zip(list(_SUMS)[2:], added)))
+
+
 class Trie:
     """Words and, for each, the contexts it was seen in, as Elias-Fano levels.
 
@@ -254,11 +268,14 @@ def _score(total: int, distinct: int, frequent: dict[int, int], mu: float):
         del pairs, pair, seen, of_word, of_context, kept, found, trie
         values -= np.log10(known + mu)[word]
         n = len(place)
-        return pa.table({
-            "place": place, "id": pa.array(name, mask=name == -(1 << 63)), "n_tokens": np.bincount(doc, counts, n).astype(np.int64),
-            "n_known": np.bincount(doc, np.where(known[word] > 0, counts, 0), n).astype(np.int64),
-            "base": np.bincount(doc, counts * np.log10(known + 1.0)[word], n), "score": np.bincount(doc, counts * values, n),
-        })
+        tokens = np.bincount(doc, counts, n).astype(np.int64)
+        known_tokens = np.bincount(doc, np.where(known[word] > 0, counts, 0), n).astype(np.int64)
+        base = np.bincount(doc, counts * np.log10(known + 1.0)[word], n)
+        score = np.bincount(doc, counts * values, n)
+        # One row per portion again, so that what leaves a shard grows with its tokens only.
+        cuts = np.cumsum([len(d[0]) for d in docs])[:-1]
+        columns = {k: [x.tobytes() for x in np.split(v, cuts)] for k, v in zip(_SUMS, (place, name, tokens, known_tokens, base, score))}
+        return pa.table({"portion": table.column("portion")} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
 
     return run
 
@@ -285,7 +302,8 @@ def score_texts(
     # A word with more than a quarter of a shard's tokens has its contexts dealt out; at most 4 x shards words.
     frequent = _frequent(table, max(1, total // (4 * shards)))
     dealt = rows.mapInArrow(_deal(shards, frequent), _TOKENS)
-    parts = dealt.groupBy("shard").applyInArrow(_score(total, distinct, frequent, mu), "place long, id long, n_tokens long, n_known long, base double, score double")
+    scored = dealt.groupBy("shard").applyInArrow(_score(total, distinct, frequent, mu), "portion long, " + ", ".join(f"{k} binary" for k in _SUMS))
+    parts = scored.groupBy("portion").applyInArrow(_gather, "place long, id long, n_tokens long, n_known long, base double, score double")
     out = parts.groupBy("place").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return out.select(
         F.col("id").alias(row_id), held_out(F.col("id"), folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
