@@ -59,25 +59,34 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def as_time(df: DataFrame, name: str) -> Column:
-    """The column as TIMESTAMP; text that is no time becomes null."""
+def as_time(df: DataFrame, name: str, day_first: bool = False) -> Column:
+    """The column as TIMESTAMP; text that is no time becomes null. Where both
+    orders of day and month are possible, ``day_first`` decides."""
     dt = df.schema[name].dataType
     c = F.col(f"`{name}`")
     if isinstance(dt, T.StringType):
-        return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) if p else c.try_cast("timestamp") for p in TIME_PATTERNS])
+        return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) if p else c.try_cast("timestamp") for p in (DAY_FIRST if day_first else MONTH_FIRST)])
     return c.cast("timestamp")
 
 
 # Accepted layouts of date-like text; None is the ISO form.
-TIME_PATTERNS = (
+_COMMON = (
     None,
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
-    "yyyy/MM/dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "dd-MMM-yyyy",
+    "yyyy/M/d[ H:mm[:ss]]",
+    "yyyy.M.d[ H:mm[:ss]]",
+    "yyyyMMdd",
+    "d-MMM-yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
     "MMM d, yyyy",
+    "MMM d yyyy",
+    "MMMM d, yyyy",
+    "MMMM d yyyy",
 )
+_MONTH = ("M/d/yyyy[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]", "M.d.yyyy[ H:mm[:ss]]", "M/d/yy")
+_DAY = ("d/M/yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]", "d/M/yy")
+MONTH_FIRST = _COMMON + _MONTH
+DAY_FIRST = _COMMON + _DAY
 
 
 def batched(items: list, size: int) -> list[list]:

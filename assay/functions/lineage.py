@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a session without one (a local
-    test) gets a folder of its own."""
+    """The session's ``spark.checkpoint.dir``. A session in one process (a local
+    test) that has none gets a folder of its own; on a cluster that is an error,
+    as executors do not share the driver's folders."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assay-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="assay-"))
     return context.getCheckpointDir()
 
 

@@ -67,7 +67,14 @@ def percent(value: Column, decimals: int = 1) -> Column:
     return F.when(num.isNull(), "n/a").otherwise(F.concat(fixed_point(num * 100, decimals), F.lit("%")))
 
 
+def _defined(value: Column) -> Column:
+    """Null for NaN, which would count as larger than any number."""
+    value = value.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def shape_label(skew: Column) -> Column:
+    skew = _defined(skew)
     return (
         F.when(skew > 1, "strongly right-skewed")
         .when(skew > 0.5, "right-skewed")
@@ -78,6 +85,7 @@ def shape_label(skew: Column) -> Column:
 
 
 def transform_advice(skew: Column) -> Column:
+    skew = _defined(skew)
     return F.when(skew > 1, "log").when(skew > 0.5, "square-root")
 
 

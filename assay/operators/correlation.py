@@ -81,7 +81,8 @@ def _pair_terms(i: int, a: str, b: str, facts: dict, aggs: dict[str, Column]) ->
         ok = F.col(f"ok{i}")
         n, xx, yy = F.coalesce(f"n{i}", F.lit(0)).cast("long"), F.col(f"xx{i}"), F.col(f"yy{i}")
     r = F.try_divide(F.col(f"xy{i}"), F.sqrt(xx) * F.sqrt(yy))
-    return n, F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    # An infinite value leaves r undefined; NaN counts as larger than any number.
+    return n, F.when(ok & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def strongest_first(r: Column) -> list[Column]:

@@ -58,23 +58,38 @@ def sample_skew(c: Column) -> Column:
     return F.when(n > 2, F.try_divide(g1 * F.sqrt(n * (n - 1.0)), n - F.lit(2.0))).otherwise(0.0)
 
 
-def date_like_columns(df: DataFrame) -> list[str]:
-    """Text columns whose name hints at a time and whose values mostly parse."""
+def time_readings(df: DataFrame) -> dict[str, bool]:
+    """Text columns whose name hints at a time and whose values mostly parse,
+    each with whether the day comes before the month: one order for the whole
+    column, the one that reads more of its values (month first of equals)."""
     hinted = [
         f.name
         for f in df.schema.fields
         if isinstance(f.dataType, T.StringType) and any(t in f.name.lower() for t in TIME_TOKENS)
     ]
     if not hinted:
-        return []
-    shares = df.agg(*[F.avg(as_time(df, c).isNotNull().cast("int")).alias(f"s{i}") for i, c in enumerate(hinted)]).first()
-    return [c for i, c in enumerate(hinted) if (shares[i] or 0.0) > PARSED_SHARE]
+        return {}
+    read = [
+        F.avg(as_time(df, c, day_first).isNotNull().cast("int")).alias(f"s{i}{int(day_first)}")
+        for i, c in enumerate(hinted) for day_first in (False, True)
+    ]
+    shares = df.agg(*read).first()
+    out = {}
+    for i, c in enumerate(hinted):
+        month, day = shares[f"s{i}0"] or 0.0, shares[f"s{i}1"] or 0.0
+        if max(month, day) > PARSED_SHARE:
+            out[c] = day > month
+    return out
+
+
+def date_like_columns(df: DataFrame) -> list[str]:
+    return list(time_readings(df))
 
 
 def coerce_datetimes(df: DataFrame) -> DataFrame:
     """Replace date-like text columns by timestamps; what does not parse is null."""
-    for c in date_like_columns(df):
-        df = df.withColumn(c, as_time(df, c))
+    for c, day_first in time_readings(df).items():
+        df = df.withColumn(c, as_time(df, c, day_first))
     return df
 
 

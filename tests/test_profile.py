@@ -101,3 +101,17 @@ def test_many_groups_take_the_ranked_way(spark, monkeypatch):
     for r in got.collect():
         want = np.quantile([1.5 * i for i in range(300) if i % 5 == r["g"]], 0.3)
         assert r["q0"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize(
+    "texts",
+    [
+        ["1/2/2023", "12/31/2023"], ["20230105", "20231231"], ["2023.01.05", "2023.12.31"], ["05-01-2023", "31-12-2023"], ["5 January 2023", "31 December 2023"],
+        ["Jan 5 2023", "Dec 31 2023"], ["31/12/2023", "05/01/2023"], ["01/05/23", "12/31/23"], ["2023-01-05 10:00:00", "2023-12-31"],
+    ],
+)
+def test_date_layouts(spark, texts):
+    out = profile.coerce_datetimes(spark.createDataFrame([(t,) for t in texts], "order_date string"))
+    assert out.schema["order_date"].dataType.typeName() == "timestamp"
+    days = sorted((r[0].month, r[0].day) for r in out.collect())
+    assert days[-1] == (12, 31) and days[0] in ((1, 2), (1, 5)) and len(days) == 2

@@ -250,3 +250,15 @@ def test_constants_are_seen_as_constants_over_many_partitions(spark):
     assert s["direction"] == "flat" and s["p_value"] == 1.0
     assert fit_preparation(df, ["flat"], []).numeric["flat"][2] == 0.0
     assert confidence.bootstrap_correlations(df, ["id"], "x", "flat").count() == 0
+
+
+def test_infinite_values_give_no_findings(spark):
+    from assay.operators.correlation import correlation_analysis, top_correlations
+    from assay.operators.distribution import distribution_analysis
+
+    rows = [(float(i), float((i * 37) % 11), float(i % 7)) for i in range(40)] + [(float("inf"), 3.0, 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    assert {(r["a"], r["b"]) for r in correlation_analysis(df).collect()} == {("b", "c")}
+    assert {(r["a"], r["b"]) for r in top_correlations(df).collect()} == {("b", "c")}
+    shape = {r["column"]: r for r in distribution_analysis(df).collect()}["a"].asDict()
+    assert "strongly" not in str(shape.values())
