@@ -242,37 +242,61 @@ class PieceModel:
 
     def transfer(self, x: str, begin: int, end: int, entries: list[State]) -> tuple[list[State], np.ndarray]:
         """Exit states and the max-plus matrix from ``entries``: minus the number
-        of pieces that start in ``[begin, end)``, or minus infinity."""
+        of ids that start in ``[begin, end)``, or minus infinity."""
         nodes: dict[int, dict[str, np.ndarray]] = {}
         for n, (past, piece) in enumerate(entries):
             vector = np.full(len(entries), NOWHERE)
             vector[n] = 0.0
             nodes.setdefault(begin + past, {})[piece] = vector
-        at = begin
-        while at < end:
+        first, last = self.safe_places(x, begin, end)
+        if first < last:
+            # All states agree from a safe place on: words up to the last one are remembered.
+            self._advance(x, nodes, begin, first)
+            reached = np.maximum.reduce(list(nodes.pop(first).values()))
+            between = sum(len(self.word(w)) // 4 for w in self.words_of(x[first:last]))
+            nodes, begin = {last: {"": reached - between}}, last
+        self._advance(x, nodes, begin, end)
+        exits = sorted((p - end, piece) for p, row in nodes.items() for piece in row)
+        matrix = np.array([nodes[end + past][piece] for past, piece in exits]).reshape(len(exits), len(entries)).T
+        return exits, matrix
+
+    def safe_places(self, x: str, begin: int, end: int) -> tuple[int, int]:
+        """The first and the last place in ``[begin, end)`` where a run of spaces
+        starts and a piece must end; ``(end, begin)`` if there is none."""
+        if not self.cuts_at_space():
+            return end, begin
+        first = x.find(SPACE, begin, end)
+        while first > 0 and x[first - 1] == SPACE:
+            first = x.find(SPACE, first + 1, end)
+        last = x.rfind(SPACE, begin, end)
+        while last > begin and x[last - 1] == SPACE:
+            last -= 1
+        return (end, begin) if first < 0 or last < 0 or (last == begin and last > 0 and x[last - 1] == SPACE) else (first, last)
+
+    def _advance(self, x: str, nodes: dict[int, dict[str, np.ndarray]], begin: int, end: int) -> None:
+        """Carry the states at places before ``end`` to those at or past it."""
+        for at in range(begin, end):
             here = nodes.pop(at, None)
             if here:
-                if len(here) > 1 and at > begin and self.safe(x, at) and len(nodes) == 0:
-                    # All states agree from a safe place on.
-                    here = {"": np.maximum.reduce(list(here.values()))}
                 for piece in self.starting(x, at, len(x)):
                     into = None
                     for previous, vector in here.items():
                         if self.beside(previous, piece):
                             into = vector if into is None else np.maximum(into, vector)
                     if into is not None:
-                        nodes.setdefault(at + len(piece), {})[piece] = into - 1.0
-            at += 1
-        exits = sorted((p - end, piece) for p, row in nodes.items() for piece in row)
-        matrix = np.array([nodes[end + past][piece] for past, piece in exits]).reshape(len(exits), len(entries)).T
-        return exits, matrix
+                        nodes.setdefault(at + len(piece), {})[piece] = into - (1.0 if piece in self.id_of else len(piece.encode("utf-8", "replace")))
 
     def between(self, x: str, begin: int, end: int, entry: State, leave: State) -> list[int]:
         """Ids of the pieces that start in ``[begin, end)``, given both border states."""
         a, b = begin + entry[0], end + leave[0]
         if a >= b:
             return []
-        return self.ids(self.path(x, a, b, entry[1], leave[1]))
+        first, last = self.safe_places(x, a, end)
+        if first >= last:
+            return self.ids(self.path(x, a, b, entry[1], leave[1]))
+        head = self.ids(self.path(x, a, first, entry[1])) if first > a else []
+        middle = np.frombuffer(b"".join(map(self.word, self.words_of(x[first:last]))), "<u4").tolist()
+        return head + middle + self.ids(self.path(x, last, b, "", leave[1]))
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
