@@ -56,6 +56,8 @@ class PieceModel:
         self.beginnings = {p[:n] for p in self.id_of for n in range(1, len(p) + 1)}
         self.inside = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         self.surface = {i: p.replace(SPACE, " ").encode() for p, i in self.id_of.items()} | {i: bytes([b]) for b, i in self.byte_id.items()}
+        #: May a text be cut in front of every run of spaces?
+        self.space_cuts = not any(p[1] == SPACE and p[0] != SPACE for p in self.inside)
         self._halves: dict[str, tuple[str, str]] = {}
         self._beside: dict[tuple[str, str], bool] = {}
         self._words: dict[str, bytes] = {}
@@ -212,14 +214,11 @@ class PieceModel:
             out.append(run)
         return out
 
-    def cuts_at_space(self) -> bool:
-        return not any(p[1] == SPACE and p[0] != SPACE for p in self.inside)
-
     def encode_whole(self, x: str) -> bytes:
         """Ids of a normalised text between safe borders."""
         if not x:
             return b""
-        if self.cuts_at_space():
+        if self.space_cuts:
             return b"".join(map(self.word, self.words_of(x)))
         return np.array(self.ids(self.path(x, 0, len(x), "")), "<u4").tobytes()
 
@@ -263,7 +262,7 @@ class PieceModel:
     def safe_places(self, x: str, begin: int, end: int) -> tuple[int, int]:
         """The first and the last place in ``[begin, end)`` where a run of spaces
         starts and a piece must end; ``(end, begin)`` if there is none."""
-        if not self.cuts_at_space():
+        if not self.space_cuts:
             return end, begin
         first = x.find(SPACE, begin, end)
         while first > 0 and x[first - 1] == SPACE:
