@@ -201,9 +201,9 @@ def line_verdicts(keyed: DataFrame, edits: int, least_bytes: int) -> DataFrame:
     return firsts.join(gone, ["_k", "n"], "left_anti").groupBy("_k").agg(F.collect_list("n").alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text", edits: int = EDITS, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text", edits: int = EDITS, least_bytes: int = LEAST_BYTES, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """All columns of ``docs`` with ``text`` freed of repeated lines, and
-    ``n_lines`` and ``n_removed``.
+    ``n_lines`` and ``n_removed`` (or the names in ``counts``).
 
     Documents are in the order of their id (null first, equal ids by text), lines
     in their own. A line of at least ``least_bytes`` bytes goes if an earlier one
@@ -232,4 +232,4 @@ def dedup_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text", edi
     row_type = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")).schema["_row"].dataType.simpleString()
     cleaned = arrow_stage(judged, f"_row {row_type}, _text string, n_lines long, n_removed long", clean)
     columns = [F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in own]
-    return cleaned.select(*columns, "n_lines", "n_removed")
+    return cleaned.select(*columns, F.col("n_lines").alias(counts[0]), F.col("n_removed").alias(counts[1]))

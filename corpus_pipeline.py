@@ -29,9 +29,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go. So does a document that lost lines and has no line
     left that is long enough to tell it from others."""
-    cleaned = lines.dedup_lines(docs)
+    removed = "_" * max(map(len, docs.columns)) + "_removed"  # a name that no column has
+    cleaned = lines.dedup_lines(docs, counts=(f"{removed}_of", removed))
     own = F.exists(F.split("text", "\n"), lambda x: F.octet_length(x) >= lines.LEAST_BYTES)
-    kept = cleaned.where((F.col("n_removed") == 0) | own)
+    kept = cleaned.where((F.col(removed) == 0) | own)
     return _with_length(kept.select(*docs.columns))
 
 
