@@ -31,7 +31,7 @@ END = b"\n"
 STEPS = 24
 #: Tokens that a task gathers, and tokens per shard.
 TOKENS_AT_ONCE = 1 << 20
-SHARD_TOKENS = 2_500_000
+SHARD_TOKENS = 1_250_000
 #: Look-ups that are answered side by side.
 AT_ONCE = 1 << 18
 _DOC_BITS, _WORD_BITS = 15, 24
@@ -132,7 +132,17 @@ def _frequent(table: DataFrame, least: int) -> dict[int, int]:
     return {r["word"] % (1 << 64): r["n"] for r in rows}
 
 
-_TOKENS = "shard int, portion long, words binary, word_at binary, contexts binary, context_at binary, places binary, ids binary, held binary, doc_at binary, counts binary"
+_TOKENS = "shard int, portion long, words binary, word_runs binary, contexts binary, context_at binary, places binary, ids binary, held binary, doc_at binary, counts binary"
+
+
+def _index_type(size: int) -> type:
+    """What numbers below ``size`` are sent as."""
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte each where all of them fit, else in four."""
+    return counts.astype(np.uint8 if counts.max() < 1 << 8 else np.uint32)
 
 
 def _deal(shards: int, frequent: dict[int, int]):
@@ -169,10 +179,11 @@ def _deal(shards: int, frequent: dict[int, int]):
                 at = order[cuts[s] : cuts[s + 1]]
                 if not len(at):
                     continue
-                w, w_at = np.unique(word[at], return_inverse=True)
+                # By word, so its run lengths say which word an entry has.
+                w, w_runs = np.unique(word[at], return_counts=True)
                 c, c_at = np.unique(context[at], return_inverse=True)
                 d, d_at = np.unique(doc[at], return_inverse=True)
-                data = (hashes[w], w_at.astype(np.uint32), hashes[c], c_at.astype(np.uint32), place[d], name[d], held[d], d_at.astype(np.uint16), counts[at].astype(np.uint32))
+                data = (hashes[w], w_runs.astype(np.uint32), hashes[c], c_at.astype(_index_type(len(c))), place[d], name[d], held[d], d_at.astype(np.uint16), _narrow(counts[at]))
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([portion], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in data]], [f.split()[0] for f in _TOKENS.split(", ")])
             portion += 1
 
@@ -233,23 +244,23 @@ def _score(total: int, distinct: int, frequent: dict[int, int], mu: float):
     often = np.array(sorted(frequent), np.uint64)
     often_counts = np.array([frequent[int(w)] for w in often], np.int64)
 
-    def merged(table: pa.Table, values: str, index: str):
+    def merged(table: pa.Table, values: str, entries: str, expand):
         tables = [np.frombuffer(b, np.uint64) for b in table.column(values).to_pylist()]
         unique = np.unique(np.concatenate(tables))
-        places = [np.searchsorted(unique, t).astype(np.int32)[np.frombuffer(b, np.uint32)] for t, b in zip(tables, table.column(index).to_pylist())]
+        places = [expand(np.searchsorted(unique, t).astype(np.int32), b) for t, b in zip(tables, table.column(entries).to_pylist())]
         return unique, np.concatenate(places)
 
     def run(table: pa.Table) -> pa.Table:
-        words, word = merged(table, "words", "word_at")
-        contexts, context = merged(table, "contexts", "context_at")
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
-        docs, doc, start = [], [], 0
-        for places, ids, held, at in zip(*[table.column(c).to_pylist() for c in ("places", "ids", "held", "doc_at")]):
+        words, word = merged(table, "words", "word_runs", lambda places, b: np.repeat(places, np.frombuffer(b, np.uint32)))
+        contexts, context = merged(table, "contexts", "context_at", lambda places, b: places[np.frombuffer(b, _index_type(len(places)))])
+        docs, doc, counts, start = [], [], [], 0
+        for places, ids, held, at, n in zip(*[table.column(c).to_pylist() for c in ("places", "ids", "held", "doc_at", "counts")]):
+            counts.append(np.frombuffer(n, np.uint8 if 2 * len(n) == len(at) else np.uint32).astype(np.uint32))
             docs.append((np.frombuffer(places, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(held, np.uint8)))
             doc.append(np.frombuffer(at, np.uint16).astype(np.int32) + np.int32(start))
             start += len(docs[-1][0])
         place, name, held = (np.concatenate(x) for x in zip(*docs))
-        doc = np.concatenate(doc)
+        doc, counts = np.concatenate(doc), np.concatenate(counts)
         learnt = np.where(held[doc] == 0, counts, 0)
         # Training counts of words: all of a word's tokens are here, unless its contexts are dealt out.
         known = np.bincount(word, learnt, len(words)).astype(np.int64)
