@@ -9,7 +9,9 @@ is the context of its first word), so a text's score is the sum over its tokens
 of log10(c(v, w) + mu p(w)) - log10(c(w) + mu): all that a token needs is kept
 with its word. Words are dealt to shards, a frequent word's contexts to several;
 each shard counts its training n-grams, builds its part of the trie in
-memory-mapped levels, and scores all tokens of its words, held out or not.
+memory-mapped levels, and answers what it is asked. A portion of texts asks once
+for each distinct pair, so what moves per token stays the same however many
+shards there are; the answers (a byte per pair) meet the portion's tokens again.
 """
 
 from __future__ import annotations
@@ -27,14 +29,18 @@ from assay.llm.eliasfano import EliasFano, mapped
 
 #: The end of a text; no word contains white space.
 END = b"\n"
-#: Steps of the quantised log10 probabilities per unit: one byte spans 0 to 10.6.
+#: Steps of the quantised log10 probabilities per unit: one byte spans 0 to 10.5.
 STEPS = 24
+#: The code of a pair that training did not see.
+UNSEEN = 255
 #: Tokens that a task gathers, and tokens per shard.
 TOKENS_AT_ONCE = 1 << 20
 SHARD_TOKENS = 1_250_000
 #: Look-ups that are answered side by side.
 AT_ONCE = 1 << 18
-_DOC_BITS, _WORD_BITS = 15, 24
+TEXTS_AT_ONCE = 1 << 15
+_WORD_BITS = 24
+_NO_ID = -(1 << 63)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -70,7 +76,7 @@ def _portions(batches: Iterator[pa.RecordBatch]):
                 ids.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in part), np.int64, len(part)))
                 docs.append((place, held, len(part)))
                 held_tokens += len(part)
-                if held_tokens >= TOKENS_AT_ONCE or len(docs) >= 1 << _DOC_BITS:
+                if held_tokens >= TOKENS_AT_ONCE or len(docs) >= TEXTS_AT_ONCE:
                     # The context of a continued part is its last word so far.
                     yield before, *close()
                     before = xxhash.xxh3_64_intdigest(part[-1])
@@ -132,12 +138,9 @@ def _frequent(table: DataFrame, least: int) -> dict[int, int]:
     return {r["word"] % (1 << 64): r["n"] for r in rows}
 
 
-_TOKENS = "shard int, portion long, words binary, word_runs binary, contexts binary, context_at binary, places binary, ids binary, held binary, doc_at binary, counts binary"
-
-
-def _index_type(size: int) -> type:
-    """What numbers below ``size`` are sent as."""
-    return np.uint16 if size <= 1 << 16 else np.uint32
+_REQUESTS = "shard int, portion long, words binary, word_runs binary, contexts binary, counts binary"
+_TOKENS = "portion long, shards int, places binary, ids binary, sizes binary, pairs binary"
+_REPLIES = "shard int, portion long, known binary, word_runs binary, codes binary"
 
 
 def _narrow(counts: np.ndarray) -> np.ndarray:
@@ -145,61 +148,79 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint8 if counts.max() < 1 << 8 else np.uint32)
 
 
-def _deal(shards: int, frequent: dict[int, int]):
-    """Tokens of a portion, counted per (word, context, text) and cut by shard."""
-    often = np.array(sorted(frequent), np.uint64)
+def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
-    def run(batches):
-        base = TaskContext.get().partitionId() << 40
-        names: list = []
-        portion = base
 
-        def noted(source):
-            for batch in source:
-                names.extend(batch.column("_id").to_pylist())
-                yield batch
+class _Dealer:
+    """Numbers the distinct (word, context) pairs of a portion by their shard.
 
-        for before, words, ids, docs in _portions(noted(batches)):
+    The same portion is read twice: its pairs go to the shards, its tokens wait
+    for the answers. Its name holds a digest of its words, so a portion that came
+    out otherwise the second time would find no answers and fail.
+    """
+
+    def __init__(self, shards: int, frequent: dict[int, int], least: int):
+        self.shards = shards
+        self.often = np.array(sorted(frequent), np.uint64)
+        self.pieces = np.array([1 + frequent[int(w)] // least for w in self.often], np.uint64)
+
+    def portions(self, batches: Iterator[pa.RecordBatch]):
+        """``(portion, hashes, word, context, shard cuts, pair of each token, docs)``."""
+        base = TaskContext.get().partitionId() << 40
+        for n, (before, words, ids, docs) in enumerate(_portions(batches)):
             hashes = _hashes(words)
             hashes = np.append(hashes, np.uint64(before) if before else hashes[0])
+            name = xxhash.xxh3_64_intdigest(hashes.tobytes() + ids.tobytes(), base + n)
             context = np.r_[len(hashes) - 1, ids[:-1]]
-            doc = np.repeat(np.arange(len(docs)), [d[2] for d in docs])
-            key = ids << (_WORD_BITS + _DOC_BITS) | context << _DOC_BITS | doc
-            key, counts = np.unique(key, return_counts=True)
-            word, context, doc = key >> (_WORD_BITS + _DOC_BITS), key >> _DOC_BITS & ((1 << _WORD_BITS) - 1), key & ((1 << _DOC_BITS) - 1)
-            split = np.isin(hashes, often)[word]
-            spot = np.where(split, _mix(hashes[word], hashes[context]), hashes[word])
-            shard = (spot % np.uint64(shards)).astype(np.int64)
+            key, pair = np.unique(ids << _WORD_BITS | context, return_inverse=True)
+            word, context = key >> _WORD_BITS, key & ((1 << _WORD_BITS) - 1)
+            # The contexts of a frequent word go to as many places as its count asks for.
+            pieces = np.ones(len(hashes), np.uint64)
+            if len(self.often):
+                at = np.minimum(np.searchsorted(self.often, hashes), len(self.often) - 1)
+                pieces = np.where(self.often[at] == hashes, self.pieces[at], pieces)
+            spot = _mix(hashes[word], hashes[context] % pieces[word])
+            shard = (spot % np.uint64(self.shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            place = np.array([base + d[0] for d in docs], np.int64)
-            held = np.array([d[1] for d in docs], np.uint8)
-            name = np.array([-(1 << 63) if names[d[0]] is None else names[d[0]] for d in docs], np.int64)
-            for s in range(shards):
-                at = order[cuts[s] : cuts[s + 1]]
-                if not len(at):
-                    continue
-                # By word, so its run lengths say which word an entry has.
-                w, w_runs = np.unique(word[at], return_counts=True)
-                c, c_at = np.unique(context[at], return_inverse=True)
-                d, d_at = np.unique(doc[at], return_inverse=True)
-                data = (hashes[w], w_runs.astype(np.uint32), hashes[c], c_at.astype(_index_type(len(c))), place[d], name[d], held[d], d_at.astype(np.uint16), _narrow(counts[at]))
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([portion], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in data]], [f.split()[0] for f in _TOKENS.split(", ")])
-            portion += 1
-
-    return run
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+            yield name - (1 << 63), hashes, word[order], context[order], cuts, rank[pair], docs
+
+    def requests(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each shard the words of its pairs, their contexts and training counts."""
+        for portion, hashes, word, context, cuts, pair, docs in self.portions(batches):
+            train = np.repeat([not d[1] for d in docs], [d[2] for d in docs])
+            counts = np.bincount(pair[train], minlength=len(word))
+            rows = []
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[s], cuts[s + 1])
+                w, runs = np.unique(word[part], return_counts=True)
+                rows.append((s, portion, hashes[w].tobytes(), runs.astype(np.uint32).tobytes(), hashes[context[part]].tobytes(), _narrow(counts[part]).tobytes()))
+            yield _batch(rows, _REQUESTS)
+
+    def tokens(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per portion: its texts and the pair number of every token, three bytes each."""
+        base, names = TaskContext.get().partitionId() << 40, []
 
+        def noted(source):
+            for batch in source:
+                names.extend(batch.column("_id").to_pylist())
+                yield batch
 
-_SUMS = {"place": np.int64, "id": np.int64, "n_tokens": np.int64, "n_known": np.int64, "base": np.float64, "score": np.float64}
+        for portion, _, _, _, cuts, pair, docs in self.portions(noted(batches)):
+            places = np.array([base + d[0] for d in docs], np.int64)
+            ids = np.array([_NO_ID if names[d[0]] is None else names[d[0]] for d in docs], np.int64)
+            sizes = np.array([d[2] for d in docs], np.uint32)
+            planes = pair.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
+            yield _batch([(portion, int((np.diff(cuts) > 0).sum()), places.tobytes(), ids.tobytes(), sizes.tobytes(), planes.tobytes())], _TOKENS)
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """The sums of a portion's texts over all shards."""
-    place, name, *sums = (np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in _SUMS.items())
-    place, first, text = np.unique(place, return_index=True, return_inverse=True)
-    name = name[first]
-    added = [np.bincount(text, x, len(place)).astype(x.dtype) for x in sums]
-    return pa.table({"place": place, "id": pa.array(name, mask=name == -(1 << 63))} | dict(zip(list(_SUMS)[2:], added)))
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(values, kinds[k]) for values, (_, k) in zip(zip(*rows), fields)], [f[0] for f in fields])
 
 
 class Trie:
@@ -220,73 +241,81 @@ class Trie:
         self.shift = np.cumsum(span) - span
         self.span = span
         self.level = EliasFano((contexts + self.shift[word_of]).astype(np.uint64))
-        self.codes = mapped(np.clip(np.rint(STEPS * np.log10(np.maximum(weights, 1e-300))), 0, 255).astype(np.uint8))
+        self.codes = mapped(np.clip(np.rint(STEPS * np.log10(np.maximum(weights, 1e-300))), 0, UNSEEN - 1).astype(np.uint8))
 
     def look_up(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Quantised log10 of the smoothed count of (word number, context), NaN if unseen."""
-        out = np.full(len(word), np.nan)
+        """Code of (word number, context): quantised log10 of its smoothed count, or ``UNSEEN``."""
+        out = np.empty(len(word), np.uint8)
         for start in range(0, len(word), AT_ONCE):
             part = slice(start, start + AT_ONCE)
             out[part] = self._look_up(word[part], context[part])
         return out
 
     def _look_up(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        out = np.full(len(word), np.nan)
+        out = np.full(len(word), UNSEEN, np.uint8)
         first, last = (self.pointers.value(word + i).astype(np.int64) - word - i for i in (0, 1))
         inside = np.flatnonzero((context < self.span[word]) & (first < last))
         at = self.level.find(context[inside] + self.shift[word[inside]])
         hit = at >= 0
-        out[inside[hit]] = self.codes[at[hit]] / STEPS
+        out[inside[hit]] = self.codes[at[hit]]
         return out
 
 
-def _score(total: int, distinct: int, frequent: dict[int, int], mu: float):
+def _answer(total: int, distinct: int, frequent: dict[int, int], mu: float):
+    """Builds a shard's trie and answers its portions: training counts of the
+    words, codes of the pairs, in the order they were asked in."""
     often = np.array(sorted(frequent), np.uint64)
     often_counts = np.array([frequent[int(w)] for w in often], np.int64)
 
-    def merged(table: pa.Table, values: str, entries: str, expand):
-        tables = [np.frombuffer(b, np.uint64) for b in table.column(values).to_pylist()]
-        unique = np.unique(np.concatenate(tables))
-        places = [expand(np.searchsorted(unique, t).astype(np.int32), b) for t, b in zip(tables, table.column(entries).to_pylist())]
-        return unique, np.concatenate(places)
-
     def run(table: pa.Table) -> pa.Table:
-        words, word = merged(table, "words", "word_runs", lambda places, b: np.repeat(places, np.frombuffer(b, np.uint32)))
-        contexts, context = merged(table, "contexts", "context_at", lambda places, b: places[np.frombuffer(b, _index_type(len(places)))])
-        docs, doc, counts, start = [], [], [], 0
-        for places, ids, held, at, n in zip(*[table.column(c).to_pylist() for c in ("places", "ids", "held", "doc_at", "counts")]):
-            counts.append(np.frombuffer(n, np.uint8 if 2 * len(n) == len(at) else np.uint32).astype(np.uint32))
-            docs.append((np.frombuffer(places, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(held, np.uint8)))
-            doc.append(np.frombuffer(at, np.uint16).astype(np.int32) + np.int32(start))
-            start += len(docs[-1][0])
-        place, name, held = (np.concatenate(x) for x in zip(*docs))
-        doc, counts = np.concatenate(doc), np.concatenate(counts)
-        learnt = np.where(held[doc] == 0, counts, 0)
-        # Training counts of words: all of a word's tokens are here, unless its contexts are dealt out.
-        known = np.bincount(word, learnt, len(words)).astype(np.int64)
+        asked, runs = _joined(table, "words", np.uint64), _joined(table, "word_runs", np.uint32)
+        words, word_at = np.unique(asked, return_inverse=True)
+        word = np.repeat(word_at, runs)
+        contexts, context = np.unique(_joined(table, "contexts", np.uint64), return_inverse=True)
+        counts = np.concatenate(
+            [np.frombuffer(n, np.uint8 if 8 * len(n) == len(c) else np.uint32).astype(np.uint32) for n, c in zip(table.column("counts").to_pylist(), table.column("contexts").to_pylist())]
+        )
+        # All of a word's tokens are here, unless its contexts are dealt out.
+        known = np.bincount(word, counts, len(words)).astype(np.int64)
         if len(often):
             at = np.minimum(np.searchsorted(often, words), len(often) - 1)
             known = np.where(often[at] == words, often_counts[at], known)
-        pairs, pair = np.unique(word.astype(np.int64) * len(contexts) + context, return_inverse=True)
-        del context
-        seen = np.bincount(pair, learnt, len(pairs)).astype(np.int64)
-        prior = mu * (known + 1) / (total + distinct + 1)
+        pairs, pair = np.unique(word * len(contexts) + context, return_inverse=True)
+        seen = np.bincount(pair, counts, len(pairs)).astype(np.int64)
         of_word, of_context = pairs // len(contexts), pairs % len(contexts)
+        prior = mu * (known + 1) / (total + distinct + 1)
         kept = np.flatnonzero(seen)
         trie = Trie(words, of_word[kept], of_context[kept], seen[kept] + prior[of_word[kept]])
-        found = trie.look_up(trie.words.find(words)[of_word], of_context)
-        values = np.where(np.isnan(found), np.log10(prior[of_word]), found)[pair]
-        del pairs, pair, seen, of_word, of_context, kept, found, trie
-        values -= np.log10(known + mu)[word]
-        n = len(place)
-        tokens = np.bincount(doc, counts, n).astype(np.int64)
-        known_tokens = np.bincount(doc, np.where(known[word] > 0, counts, 0), n).astype(np.int64)
-        base = np.bincount(doc, counts * np.log10(known + 1.0)[word], n)
-        score = np.bincount(doc, counts * values, n)
-        # One row per portion again, so that what leaves a shard grows with its tokens only.
-        cuts = np.cumsum([len(d[0]) for d in docs])[:-1]
-        columns = {k: [x.tobytes() for x in np.split(v, cuts)] for k, v in zip(_SUMS, (place, name, tokens, known_tokens, base, score))}
-        return pa.table({"portion": table.column("portion")} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
+        codes = trie.look_up(trie.words.find(words)[of_word], of_context)[pair]
+
+        def rows(values: np.ndarray, sizes: list[int]) -> pa.Array:
+            return pa.array([x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])], pa.binary())
+
+        n_words, n_pairs = ([len(b) // 8 for b in table.column(c).to_pylist()] for c in ("words", "contexts"))
+        return pa.table({"shard": table.column("shard"), "portion": table.column("portion"), "known": rows(known[word_at], n_words), "word_runs": table.column("word_runs"), "codes": rows(codes, n_pairs)})
+
+    return run
+
+
+def _add_up(total: int, distinct: int, mu: float):
+    """Sums over the tokens of a portion's texts."""
+
+    def run(tokens: pa.Table, replies: pa.Table) -> pa.Table:
+        if tokens.num_rows != 1 or replies.num_rows != tokens.column("shards")[0].as_py():
+            raise RuntimeError("the documents came out differently when they were read again")
+        replies = replies.sort_by("shard")
+        known = np.repeat(_joined(replies, "known", np.int64), _joined(replies, "word_runs", np.uint32))
+        codes = _joined(replies, "codes", np.uint8)
+        values = np.where(codes == UNSEEN, np.log10(mu * (known + 1) / (total + distinct + 1)), codes / STEPS) - np.log10(known + mu)
+        place, name, sizes = _joined(tokens, "places", np.int64), _joined(tokens, "ids", np.int64), _joined(tokens, "sizes", np.uint32)
+        planes = np.zeros((int(sizes.sum()), 4), np.uint8)
+        planes[:, :3] = _joined(tokens, "pairs", np.uint8).reshape(3, -1).T
+        pair, doc, n = planes.view("<u4").ravel(), np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+        known = known[pair]
+        return pa.table({
+            "place": place, "id": pa.array(name, mask=name == _NO_ID), "n_tokens": sizes.astype(np.int64), "n_known": np.bincount(doc, known > 0, n).astype(np.int64),
+            "base": np.bincount(doc, np.log10(known + 1.0), n), "score": np.bincount(doc, values[pair], n),
+        })
 
     return run
 
@@ -303,7 +332,9 @@ def score_texts(
     scored one by one; a null id is allowed; the id must be an integer. Without
     training rows nothing is known. An empty table gives no rows, other columns
     are not read. The model's probabilities are rounded to ``1 / STEPS`` in
-    log10; words are told apart by 64-bit hashes.
+    log10; words are told apart by 64-bit hashes. The rows are read more than
+    once and must come in the same partitions and order, as those of a table do;
+    if they do not, the job fails.
     """
     rows = docs.select(F.col(row_id).cast("long").alias("_id"), F.col(text).alias("_text"), held_out(F.col(row_id), folds, fold).alias("_held"))
     table = stored(unigrams(rows, count_shards), "unigrams")
@@ -311,10 +342,14 @@ def score_texts(
     distinct, total = int(sums["v"]), int(sums["n"])
     shards = 1 + total // shard_tokens
     # A word with more than a quarter of a shard's tokens has its contexts dealt out; at most 4 x shards words.
-    frequent = _frequent(table, max(1, total // (4 * shards)))
-    dealt = rows.mapInArrow(_deal(shards, frequent), _TOKENS)
-    scored = dealt.groupBy("shard").applyInArrow(_score(total, distinct, frequent, mu), "portion long, " + ", ".join(f"{k} binary" for k in _SUMS))
-    parts = scored.groupBy("portion").applyInArrow(_gather, "place long, id long, n_tokens long, n_known long, base double, score double")
+    least = max(1, total // (4 * shards))
+    frequent = _frequent(table, least)
+    dealer = _Dealer(shards, frequent, least)
+    replies = rows.mapInArrow(dealer.requests, _REQUESTS).groupBy("shard").applyInArrow(_answer(total, distinct, frequent, mu), _REPLIES)
+    tokens = rows.mapInArrow(dealer.tokens, _TOKENS)
+    parts = tokens.groupBy("portion").cogroup(replies.groupBy("portion")).applyInArrow(
+        _add_up(total, distinct, mu), "place long, id long, n_tokens long, n_known long, base double, score double"
+    )
     out = parts.groupBy("place").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return out.select(
         F.col("id").alias(row_id), held_out(F.col("id"), folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
