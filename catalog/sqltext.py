@@ -21,6 +21,39 @@ def upper_tail(theta: str, d2: str, d1: str) -> str:
                    (least(pi() / 2, {theta} + 40.0 / sqrt({d2})) - ({theta})) / {steps} as h))"""
 
 
+# Rational approximation of the normal quantile (Wichura's
+# AS 241), numerators and denominators in ascending powers.
+_MIDDLE = (
+    (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+    (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610),
+)
+_OUTER = (
+    (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640),
+    (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 0.00000000105075007164441684324),
+)
+
+
+def poly(coefs: tuple[float, ...], x: str) -> str:
+    """A polynomial with coefficients in ascending powers."""
+    text = repr(coefs[-1])
+    for c in reversed(coefs[:-1]):
+        text = f"({text} * {x} + {c!r}::double)"
+    return text.replace(repr(coefs[-1]), f"{coefs[-1]!r}::double", 1)
+
+
+def normal_quantile(p: str) -> str:
+    """For 1e-11 < p < 1 - 1e-11."""
+    middle, outer = f"(0.180625 - pow({p} - 0.5, 2))", f"(sqrt(-ln(least({p}, 1 - ({p})))) - 1.6)"
+    return f"""case when abs({p} - 0.5) <= 0.425 then ({p} - 0.5) * {poly(_MIDDLE[0], middle)} / {poly(_MIDDLE[1], middle)}
+        else sign({p} - 0.5) * {poly(_OUTER[0], outer)} / {poly(_OUTER[1], outer)} end"""
+
+
+def normal_upper(z: str) -> str:
+    """Upper tail of the normal law by Simpson's rule over its next 16 deviations."""
+    return f"""list_sum(list_transform(range(0, 2001), lambda i: (case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end)
+        * exp(-pow({z} + i * 0.008, 2) / 2))) * 0.008 / 3 / sqrt(2 * pi())"""
+
+
 def correlation_p(r: str, n: str) -> str:
     return f"case when abs({r}) >= 1 then 0.0 else {upper_tail(f'asin(least(1.0, abs({r})))', f'({n} - 2)', '1.0')} end"
 

@@ -94,12 +94,28 @@ def _(t):
     return rounded(d.select("column", "n", "mean", "median", "std", "skew", "kurtosis"), 4, "mean", "median", "std")
 
 
-@query("d8_normality_small")
+@query(
+    "d8_normality_small",
+    f"""with r as (select avg(c_acctbal) as mean_balance, max(c_acctbal) as top_balance, count(*) as n from customer group by c_nationkey, c_mktsegment),
+        v as (select 'mean_balance' as "column", mean_balance::double as v from r union all select 'top_balance', top_balance::double from r union all select 'n', n::double from r),
+        s as (select "column", count(v)::double as n, avg(v) as mu from v group by 1 having count(v) between 8 and 4999 and max(v) > min(v)),
+        x as (select "column", n, v - mu as d, row_number() over (partition by "column" order by v) as i from v join s using ("column") where v is not null),
+        m as (select *, {q.normal_quantile('((i - 0.375) / (n + 0.25))')} as m from x),
+        t as (select "column", 1 / sqrt(any_value(n)) as u, sum(m * m) as ss, max(case when i = n then m end) as m1, max(case when i = n - 1 then m end) as m2 from m group by 1),
+        a as (select *, m1 / sqrt(ss) + {q.poly(distribution._TAIL_LAST, 'u')} as a1, m2 / sqrt(ss) + {q.poly(distribution._TAIL_NEXT, 'u')} as a2 from t),
+        f as (select *, (ss - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) as phi from a),
+        w as (select "column", any_value(n) as n, least(1.0, pow(sum(d * case when i = n then a1 when i = n - 1 then a2 when i = 1 then -a1 when i = 2 then -a2 else m / sqrt(phi) end), 2) / sum(d * d)) as w
+              from m join f using ("column") group by 1),
+        g as (select *, {q.poly(distribution._SMALL_GAMMA, 'n')} as gamma, case when w < 1 then ln(1 - w) end as deficit from w),
+        z as (select *, case when n >= 12 then (deficit - {q.poly(distribution._LARGE_MEAN, 'ln(n)')}) / exp({q.poly(distribution._LARGE_SCALE, 'ln(n)')})
+                             when deficit < gamma then (-ln(gamma - deficit) - {q.poly(distribution._SMALL_MEAN, 'n')}) / exp({q.poly(distribution._SMALL_SCALE, 'n')}) end as z from g)
+        select "column", n::bigint as n, round(w, 6) as w, round(case when w >= 1 then 1.0 when z is null then 0.0 else {q.normal_upper('z')} end, 5) as normal_p from z""",
+)
 def _(t):
     rolled = t.customer.groupBy("c_nationkey", "c_mktsegment").agg(
         F.avg("c_acctbal").alias("mean_balance"), F.max("c_acctbal").alias("top_balance"), F.count("*").alias("n")
     )
-    return distribution.normality_small(rolled, ["mean_balance", "top_balance", "n"])
+    return rounded(rounded(distribution.normality_small(rolled, ["mean_balance", "top_balance", "n"]), 6, "w"), 5, "normal_p")
 
 
 @query(
