@@ -183,3 +183,17 @@ def test_scores_of_a_text_over_several_portions(llm_spark, monkeypatch):
         contexts.append(before)
     assert tokens_ == b"a b c d e f g h i j k".split() + [b"\n", b"\n", b"x", b"y", b"\n"]
     assert contexts[0] == 0 and contexts[1] == lm.xxhash.xxh3_64_intdigest(b"g")
+
+
+def test_a_portion_without_all_its_answers_fails():
+    run, one = lm._add_up(10, 3, 1000.0), np.array([1], np.int64).tobytes()
+    tokens = lm.pa.table({"portion": [1], "shards": [2], "places": [one], "ids": [one], "sizes": [b"\1\0\0\0"], "pairs": [b"\0\0\0"]})
+    reply = {"shard": 0, "portion": 1, "known": one, "word_runs": b"\1\0\0\0", "codes": bytes([lm.UNSEEN])}
+    schema = lm.pa.Table.from_pylist([reply]).schema
+    for found in ([], [reply], [reply] * 3):
+        with pytest.raises(RuntimeError):
+            run(tokens, lm.pa.Table.from_pylist(found, schema))
+    with pytest.raises(RuntimeError):
+        run(tokens.slice(0, 0), lm.pa.Table.from_pylist([reply], schema))
+    added = run(tokens, lm.pa.Table.from_pylist([reply, reply | {"shard": 1}], schema)).to_pylist()
+    assert added[0]["n_tokens"] == 1 and added[0]["score"] == pytest.approx(np.log10(1000.0 * 2 / 14) - np.log10(1001.0))
