@@ -118,6 +118,15 @@ def test_pipeline(llm_spark):
     assert "pipeline" in entry.queries()
 
 
+def test_line_dedup_keeps_documents_of_short_lines(llm_spark):
+    shared = "This line of a licence stands in every document."
+    short = [f"verse {i}" for i in range(200)]
+    rows = [(1, shared + "\nand more of the first document"), (2, "\n".join([shared, *short])), (3, shared), (4, f" \n{shared}\n\t"), (5, shared + "\n漢字の行")]
+    df = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(llm_spark, df, "").collect()}
+    assert got == {1: rows[0][1], 2: "\n".join(short), 5: "漢字の行"}
+
+
 @pytest.mark.parametrize("position", range(4))
 def test_stages_take_odd_and_empty_tables(odd, empty, llm_spark, position):
     stage = corpus_pipeline.STAGES[position][1]
