@@ -10,6 +10,8 @@ edit distance. Lines are compared as UTF-8 bytes.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,6 +23,8 @@ EDITS = 2
 LEAST_BYTES = 24
 #: Cells (pairs times bytes) that are verified side by side.
 CELLS_AT_ONCE = 1 << 22
+#: What a line has that is not blank.
+_INK = r"[^\x20\x09-\x0D]"
 
 
 def segments(size: int, edits: int) -> list[tuple[int, int]]:
@@ -155,14 +159,16 @@ def _postings(edits: int):
     return step
 
 
-def line_verdicts(keyed: DataFrame, edits: int, least_bytes: int) -> DataFrame:
+def line_verdicts(keyed: DataFrame, edits: int, least_bytes: int, short_repeats: bool = False) -> DataFrame:
     """``_k`` and ``kept``: the numbers of the lines of at least ``least_bytes``
-    bytes that stay, for each document (``_id``, ``_k``, ``_text``) that keeps any."""
-    line = keyed.select("_id", "_k", F.posexplode(_lines(F.col("_text"))).alias("n", "line")).where(F.octet_length("line") >= least_bytes)
-    firsts = line.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")).agg(F.min(F.struct("_id", "_k", "n")).alias("at"))
-    firsts = stored(firsts.select("at._k", "at.n"), "firsts")
+    bytes (with ``short_repeats``, of all lines but blank ones) that stay, for
+    each document (``_id``, ``_k``, ``_text``) that keeps any."""
+    long = F.octet_length("line") >= least_bytes
+    line = keyed.select("_id", "_k", F.posexplode(_lines(F.col("_text"))).alias("n", "line")).where(long | F.col("line").rlike(_INK) if short_repeats else long)
+    firsts = line.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")).agg(F.min(F.struct("_id", "_k", "n")).alias("at"), F.max(long).alias("long"))
+    firsts = stored(firsts.select("at._k", "at.n", "long"), "firsts")
     texts = keyed.select("_id", "_k", "_text")
-    listed = texts.join(firsts.groupBy("_k").agg(F.collect_list("n").alias("firsts")), "_k")
+    listed = texts.join(firsts.where("long").groupBy("_k").agg(F.collect_list("n").alias("firsts")), "_k")
     postings = arrow_stage(listed.select("_k", "_text", "firsts"), "key long, _k long, mark long", _postings(edits))
     # Both sides are one shuffled table: an index row (mark even) meets the probing rows (mark odd) of its key.
     a, b = postings.alias("a"), postings.alias("b")
@@ -201,28 +207,32 @@ def line_verdicts(keyed: DataFrame, edits: int, least_bytes: int) -> DataFrame:
     return firsts.join(gone, ["_k", "n"], "left_anti").groupBy("_k").agg(F.collect_list("n").alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text", edits: int = EDITS, least_bytes: int = LEAST_BYTES, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+def dedup_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text", edits: int = EDITS, least_bytes: int = LEAST_BYTES, counts: tuple[str, str] = ("n_lines", "n_removed"), short_repeats: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``text`` freed of repeated lines, and
     ``n_lines`` and ``n_removed`` (or the names in ``counts``).
 
     Documents are in the order of their id (null first, equal ids by text), lines
     in their own. A line of at least ``least_bytes`` bytes goes if an earlier one
     is equal or at most ``edits`` edits away, whether or not that one stays;
-    shorter lines stay. A null text stays null and has one empty line. Rows equal
+    shorter lines stay or, with ``short_repeats``, go if an earlier one is equal
+    and they are not blank. A null text stays null and has one empty line. Rows equal
     in id and text count as one document and are treated alike. An empty table
     gives no rows. Columns of the names used here are kept apart.
     """
     own = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(row_id).alias("_id"), F.xxhash64(F.col(row_id), F.col(text)).alias("_k"), F.col(text).alias("_text"))
-    verdicts = line_verdicts(keyed.select("_id", "_k", "_text"), edits, least_bytes)
+    verdicts = line_verdicts(keyed.select("_id", "_k", "_text"), edits, least_bytes, short_repeats)
     judged = keyed.select("_row", "_k").join(verdicts, "_k", "left").select("_row", F.col(f"_row.`{text}`").alias("_text"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
 
+    def judged_line(line: str) -> bool:
+        return len(line.encode()) >= least_bytes or short_repeats and re.search(_INK, line) is not None
+
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, lines_of, gone = [], [], []
         for t, kept in zip(batch.column("_text").to_pylist(), batch.column("kept").to_pylist()):
             lines = (t or "").split("\n")
             stay = set(kept)
-            left = [x for i, x in enumerate(lines) if i in stay or len(x.encode()) < least_bytes]
+            left = [x for i, x in enumerate(lines) if i in stay or not judged_line(x)]
             out.append(None if t is None else "\n".join(left))
             lines_of.append(len(lines))
             gone.append(len(lines) - len(left))

@@ -27,10 +27,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go. So does a document that lost lines and has none left
+    """Repeated lines go, short ones where they are equal. So does a document that lost lines and has none left
     but blank ones."""
     removed = "_" * max(map(len, docs.columns)) + "_removed"  # a name that no column has
-    cleaned = lines.dedup_lines(docs, counts=(f"{removed}_of", removed))
+    cleaned = lines.dedup_lines(docs, counts=(f"{removed}_of", removed), short_repeats=True)
     own = F.col("text").rlike(r"[^\x20\x09-\x0D]")
     kept = cleaned.where((F.col(removed) == 0) | own)
     return _with_length(kept.select(*docs.columns))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from assay.llm import blocks, lines, pivots, simhash
 from assay.llm.graph import components
 from tests.llm.conftest import ROWS, words
@@ -168,3 +169,12 @@ def test_line_dedup(odd, empty, llm_spark):
     cleaned = lines.dedup_lines(odd)
     assert cleaned.columns == [*odd.columns, "n_lines", "n_removed"] and len(cleaned.collect()) == len(ROWS)
     assert lines.dedup_lines(empty).count() == 0
+
+
+def test_short_lines_repeat_exactly(llm_spark):
+    rows = [(1, "Les.\n\nLes.\nLes!\n漢字の行\n  "), (2, "漢字の行\n\nkept\n  \nLes."), (3, "kept"), (4, "a line of more than 24 bytes\nown"), (5, "a line of more than 24 bytez\nown")]
+    df = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(df, short_repeats=True).collect()}
+    assert got == {1: ("Les.\n\nLes!\n漢字の行\n  ", 1), 2: ("\nkept\n  ", 2), 3: ("", 1), 4: (rows[3][1], 0), 5: ("", 2)}
+    cleaned = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(llm_spark, df, "").collect()}
+    assert cleaned == {1: got[1][0], 2: got[2][0], 4: got[4][0]}
