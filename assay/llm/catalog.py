@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assay.llm import lines, lm, packing, pieces, pivots, quality, secrets, simhash, tokens, urls
+from assay.llm import divergence, lines, lm, packing, pieces, pivots, quality, secrets, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -179,3 +179,34 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+OP13_SQL = r"""
+with d as (
+    select coalesce(lang, '') as lang, coalesce(source, '') as source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+    from documents
+), o as (select lang, source, unnest(w) as t, 0 as first from d union all select lang, source, unnest(list_distinct(w)) as t, 1 as first from d),
+k as (select lang, t, sum(1 - first) as c from o group by all having sum(first) >= 3),
+n as (select lang, source, t, sum(1 - first) as n from o semi join k using (lang, t) group by all),
+l as (select lang, count(*)::hugeint as v, sum(c)::hugeint as total from k group by all),
+gs as (select distinct lang, source from d),
+g as (select gs.lang, gs.source, coalesce(sum(n.n), 0)::hugeint as size from gs left join n using (lang, source) group by all),
+p as (
+    select g.lang, g.source, k.t, coalesce(n.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n.n, 0) + 1)) // (g.size + l.v) as p,
+           1 + (1000000000::hugeint * (k.c + 1)) // (l.total + l.v) as q
+    from g join l using (lang) join k using (lang) left join n on n.lang = g.lang and n.source = g.source and n.t = k.t
+), pairs as (
+    select a.lang, a.source, b.source as item, (select coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0) from p x join p y on x.lang = y.lang and x.t = y.t
+            where x.lang = a.lang and x.source = a.source and y.source = b.source) as value
+    from gs a join gs b on a.lang = b.lang and a.source <> b.source
+), terms as (select lang, source, t as item, ((p - q) * (p - q)) // q as value from p where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value::bigint as value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+union all
+select * from (select lang, source, 'term' as part, item, value::bigint as value, row_number() over (partition by lang, source order by value desc, item)::int as rank from terms) where rank <= 200
+"""
+
+
+@query("op13_source_divergence", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
