@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assay.llm import divergence, lines, lm, packing, pieces, pivots, quality, secrets, simhash, tokens, urls
+from assay.llm import divergence, lines, lm, packing, pieces, pivots, quality, secrets, simhash, tokens, turns, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,3 +210,76 @@ select * from (select lang, source, 'term' as part, item, value::bigint as value
 @query("op13_source_divergence", OP13_SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence(table(spark, folder, "documents"))
+
+
+def _repair_sql() -> str:
+    """Repair by a recursive table of the four states; a state is its cost in
+    nine digits, its audit, and after a chr(1) the repaired lines."""
+
+    def edit(state: str, cost: str, letter: str, line: str = "''") -> str:
+        return f"(printf('%09d', substr({state}, 1, 9)::int + {cost}) || replace(substr({state}, 10), chr(1), '{letter}' || chr(1)) || {line})"
+
+    def said(role: str, text: str) -> str:
+        return f"chr(10) || {role} || ':' || {text}"
+
+    def least(*of: str) -> str:
+        return f"least({', '.join(of)})"
+
+    insert_user = [edit(s, "5", "I", said("'user'", "''")) for s in ("s0", "s1", "s3")]
+    closed = f"(select *, {least('n3', edit('n2', '5', 'I', said(repr('assistant'), repr(''))))} as m3 from (select *, s3 as n3, {least('s2', *insert_user)} as n2 from st))"
+    more = "(case when fault = 3 then 5 else 0 end)"
+
+    def when(condition: str, value: str) -> str:
+        return f"case when fault not in (1, 2) and {condition} then {value} end"
+
+    def rerole(s: str, role: str) -> str:
+        return when("true", edit(s, f"1 + {more}", "R", said(f"'{role}'", "text")))
+
+    def keep(s: str, initial: str) -> str:
+        return when(f"role[1] = '{initial}'", edit(s, more, "K", said("role", "text")))
+
+    delete = {s: edit(s, "2", "D") for s in ("s0", "s1", "n2", "m3")}
+    new = {
+        "s0": delete["s0"], "s1": least(delete["s1"], keep("s0", "s")),
+        "s2": least(delete["n2"], *[f(s, x) for s in ("s0", "s1", "m3") for f, x in ((rerole, "user"), (keep, "u"))]),
+        "s3": least(delete["m3"], rerole("n2", "assistant"), keep("n2", "a")),
+    }
+    crc = (
+        "xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(k, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1]))),"
+        " lambda c, b: xor(xor(c, greatest(b, 0)) >> 1, 3988292384 * (xor(c, greatest(b, 0)) & 1))), 4294967295)"
+    )
+    blanks = " || ".join(f"chr({n})" for n in (32, 9, 10, 11, 12, 13))
+    return f"""
+with recursive src as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations
+), dealt as (select *, {crc} % 20 as d from src),
+hurt as (
+    select conv_id, turn, case when d = 4 then 'user' else role end as role,
+           case when d = 1 then '' when d = 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when d = 3 then 2 else 1 end)) as copy
+    from dealt where d <> 0
+), placed as (select *, row_number() over (partition by conv_id order by turn nulls first, copy) as i, rtrim(text, {blanks}) as b from hurt),
+r as (
+    select *, case when b = '' then 1 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2 when right(b, 1) not in ('.', '!', '?') then 3 else 0 end as fault,
+           role[1] || lead(role[1]) over (partition by conv_id order by i) as pair
+    from placed
+), st as (
+    select distinct conv_id, 0::bigint as i, '000000000' || chr(1) as s0, null::varchar as s1, null::varchar as s2, null::varchar as s3 from conversations
+    union all
+    select c.conv_id, c.i + 1, {new["s0"]}, {new["s1"]}, {new["s2"]}, {new["s3"]} from {closed} c join r on r.conv_id = c.conv_id and r.i = c.i + 1
+), counts as (
+    select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank,
+           count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+    from r group by conv_id
+), best as (select c.conv_id, {least("s0", "m3")} as x, i from {closed} c)
+select b.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+       substr(x, 1, 9)::bigint as cost, string_split(substr(x, 10), chr(1))[1] as audit, sha256(substr(string_split(x, chr(1))[2], 2)) as repaired_sha256
+from best b left join counts using (conv_id) where b.i = coalesce(n, 0)
+"""
+
+
+OP11_SQL = _repair_sql()
+
+
+@query("op11_conversation_repair", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.repair_conversations(table(spark, folder, "conversations"))
