@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assay.llm import divergence, lines, lm, packing, pieces, pivots, quality, secrets, simhash, tokens, turns, urls
+from assay.llm import divergence, lines, lm, packing, pieces, pivots, quality, repeats, secrets, simhash, tokens, turns, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -283,3 +283,8 @@ OP11_SQL = _repair_sql()
 @query("op11_conversation_repair", OP11_SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return turns.repair_conversations(table(spark, folder, "conversations"))
+
+
+@query("op12_repeated_strings")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"))
