@@ -21,43 +21,50 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed value: the scale of the integer probabilities.
 SCALE = 1_000_000_000
 #: Distinct terms of a group that a task gathers before it passes them on.
-TERMS_AT_ONCE = 200_000
+TERMS_AT_ONCE = 500_000
 #: Sources that are compared with all others at a time.
 SOURCES_AT_ONCE = 64
 #: Cells of a dense term-by-source table in one task.
 CELLS_AT_ONCE = 1 << 20
 
-_FOLD = str.maketrans(UPPER, LOWER)
-_PARTS = "lang string, source string, term string, n long, docs long"
+# The same terms as bytes of UTF-8, once A-Z are lower case.
+_BYTES = rb"[a-z\x80-\xFF]+"
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_PARTS = "lang string, source string, term string, fresh boolean, n long, docs long"
 _SCHEMA = "lang string, source string, part string, item string, value long, rank int"
 
 
 def term_parts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences and documents, added up as
-    far as a task's memory bound allows; a row without a term for every group."""
+    """``lang, source, term, fresh, n, docs``: occurrences and documents, added
+    up as far as a task's memory bound allows; a row without a term for every
+    group. ``fresh`` marks one of the rows that a task gives out for a term at a
+    time, which is enough for the dictionary."""
     rows = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(TERM).findall
+        find = re.compile(_BYTES).findall
         counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
         def table() -> Iterator[pa.RecordBatch]:
+            seen: set[bytes] = set()
             for (l, s), (n, docs_of) in counts.items():
-                k = len(n) + 1
+                terms, k = list(n), len(n) + 1
+                fresh = [t not in seen for t in terms]
+                seen.update(terms)
                 yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([l] * k, pa.string()), "source": pa.array([s] * k, pa.string()), "term": pa.array([*n, None], pa.string()),
-                    "n": pa.array([*n.values(), 0], pa.int64()), "docs": pa.array([*map(docs_of.__getitem__, n), 0], pa.int64()),
+                    "lang": pa.array([l] * k, pa.string()), "source": pa.array([s] * k, pa.string()), "term": pa.array([*terms, None], pa.binary()).cast(pa.string()),
+                    "fresh": pa.array([*fresh, False], pa.bool_()), "n": pa.array([*n.values(), 0], pa.int64()), "docs": pa.array([*map(docs_of.__getitem__, n), 0], pa.int64()),
                 })
             counts.clear()
 
         held = 0
         for batch in batches:
-            for l, s, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
+            for l, s, t in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 n, docs_of = counts.setdefault((l, s), (Counter(), Counter()))
                 before = len(n)
-                found = Counter(find(t.translate(_FOLD) if not t.isascii() else t.lower()))
+                found = find(t.translate(_FOLD))
                 n.update(found)
-                docs_of.update(found.keys())
+                docs_of.update(set(found))
                 held += len(n) - before + 1
                 if held > TERMS_AT_ONCE:
                     yield from table()
@@ -87,7 +94,7 @@ def kept_terms(parts: DataFrame, least_docs: int, digest_bits: int = 64) -> tupl
     """
     digest = F.xxhash64("term") if digest_bits == 64 else F.xxhash64("term").bitwiseAND(F.lit((1 << digest_bits) - 1))
     coded = parts.where("term is not null").withColumn("digest", digest)
-    words = stored(coded.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "words")
+    words = stored(coded.where("fresh").groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "words")
     shared = words.where("low <> high").select("digest", F.lit(True).alias("split"))
     if shared.isEmpty():
         tagged = coded.withColumn("tag", F.lit(""))
