@@ -22,6 +22,11 @@ import numpy as np
 BLOCK = 1 << 18
 
 
+def place_type(n: int):
+    """The narrowest type for places in a text of ``n`` symbols."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def scratch_array(n: int, dtype) -> np.ndarray:
     """An array in a scratch file, which goes with the last reference to it."""
     with tempfile.TemporaryFile() as file:
@@ -61,8 +66,8 @@ class SymbolQueue:
     appended to a scratch tape, symbol by symbol.
     """
 
-    def __init__(self, limit: int):
-        self.limit, self.held = limit, 0
+    def __init__(self, limit: int, places=np.int64):
+        self.limit, self.held, self.places = limit, 0, places
         self.waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.extents: dict[int, list[tuple[int, int]]] = {}
         self.tape: Tape | None = None
@@ -80,7 +85,7 @@ class SymbolQueue:
             self._spill()
 
     def _spill(self) -> None:
-        self.tape = self.tape or Tape(np.int64, np.uint8)
+        self.tape = self.tape or Tape(self.places, np.uint8)
         for symbol, parts in self.waiting.items():
             for positions, common in parts:
                 self.extents.setdefault(symbol, []).append((self.tape.size, self.tape.size + len(positions)))
@@ -163,7 +168,8 @@ class _Prefixes:
 def _induce(text: np.ndarray, n: int, symbols: np.ndarray, seeds: SymbolQueue, limit: int, cap: int) -> Tape:
     """All suffixes from the largest to the smallest, with their common prefix
     with the one before, from the stars in order."""
-    queue, larger, ranges = SymbolQueue(limit), Tape(np.int64, np.uint8), {}
+    places = place_type(n)
+    queue, larger, ranges = SymbolQueue(limit, places), Tape(places, np.uint8), {}
     prefixes = _Prefixes(int(symbols[-1]) + 1, cap) if cap else None
 
     def scan(positions, common, symbol, down: bool, own: bool):
@@ -190,7 +196,7 @@ def _induce(text: np.ndarray, n: int, symbols: np.ndarray, seeds: SymbolQueue, l
                 last = None
             scan(positions, common, symbol, False, False)
 
-    queue, out = SymbolQueue(limit), Tape(np.int64, np.uint8)
+    queue, out = SymbolQueue(limit, places), Tape(places, np.uint8)
     prefixes = _Prefixes(int(symbols[-1]) + 1, cap) if cap else None
     for symbol in symbols[::-1].tolist():
         last = None
@@ -225,7 +231,7 @@ def _stars(text: np.ndarray, n: int) -> np.ndarray:
         values = np.r_[here[told] < there[told], smaller[b]]
         smaller[a:b] = values[at]
     count = sum(int((smaller[a + 1 : min(a + BLOCK, n - 1) + 1] & ~smaller[a : min(a + BLOCK, n - 1)]).sum()) for a in range(0, n - 1, BLOCK))
-    out, filled = scratch_array(max(1, count), np.int64), 0
+    out, filled = scratch_array(max(1, count), place_type(n)), 0
     if n == 1:
         out[0] = 0
         return out
@@ -291,7 +297,7 @@ def sort_suffixes(text: np.ndarray, n: int, limit: int, cap: int = 0) -> Tape:
     symbols = np.array(sorted(counts), np.int64)
     stars = _stars(text, n)
 
-    seeds = SymbolQueue(limit)
+    seeds = SymbolQueue(limit, place_type(n))
     for a in range(0, len(stars), BLOCK):
         part = np.asarray(stars[a : a + BLOCK])
         d = text[part]
@@ -300,11 +306,11 @@ def sort_suffixes(text: np.ndarray, n: int, limit: int, cap: int = 0) -> Tape:
     named = _induce(text, n, symbols, seeds, limit, 0)
 
     # Names of the pieces between stars, in order; equal pieces get equal names.
-    place = scratch_array(n, np.int32 if n < 1 << 31 else np.int64)
+    place = scratch_array(n, place_type(n))
     for a in range(0, len(stars), BLOCK):
         part = stars[a : a + BLOCK]
         place[part] = np.arange(a + 1, a + 1 + len(part))
-    names, number, last = scratch_array(len(stars), np.int64), -1, None
+    names, number, last = scratch_array(len(stars), place_type(len(stars))), -1, None
     for b in range(named.size, 0, -BLOCK):
         positions = named.read(max(0, b - BLOCK), b)[0][::-1]
         index = place[positions]
@@ -324,7 +330,7 @@ def sort_suffixes(text: np.ndarray, n: int, limit: int, cap: int = 0) -> Tape:
     del named, place
 
     if number + 1 == len(stars):
-        order = scratch_array(len(stars), np.int64)
+        order = scratch_array(len(stars), place_type(n))
         for a in range(0, len(stars), BLOCK):
             part = np.asarray(names[a : a + BLOCK])
             order[part] = np.arange(a, a + len(part))
@@ -336,7 +342,7 @@ def sort_suffixes(text: np.ndarray, n: int, limit: int, cap: int = 0) -> Tape:
         inner = sort_suffixes(names, len(stars), limit)
         parts = (inner.read(max(0, b - BLOCK), b)[0][::-1] for b in range(inner.size, 0, -BLOCK))
 
-    seeds, before = SymbolQueue(limit), None
+    seeds, before = SymbolQueue(limit, place_type(n)), None
     for part in parts:
         positions = stars[part]
         common = np.zeros(len(part), np.uint8)

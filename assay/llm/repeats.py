@@ -30,7 +30,7 @@ from assay.llm.induced import BLOCK, Tape, scratch_array, sort_suffixes
 #: Bytes of the strings that are hashed; a segment has at most so many strings of one key.
 GRAM, MOST_STRINGS = 16, 128
 #: Bytes of text in a portion and in a shard, keys in a bucket, suffix tuples in a task's memory.
-PORTION_BYTES, SHARD_BYTES, BUCKET_KEYS, TUPLES = 8 << 20, 8 << 20, 1 << 20, 4 << 20
+PORTION_BYTES, SHARD_BYTES, BUCKET_KEYS, TUPLES = 8 << 20, 2 << 20, 1 << 20, 1 << 20
 NO_ID = np.iinfo(np.int64).max
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _ZSTD = pa.Codec("zstd", compression_level=3)
