@@ -30,7 +30,7 @@ from assay.llm.induced import BLOCK, Tape, scratch_array, sort_suffixes
 #: Bytes of the strings that are hashed; a segment has at most so many strings of one key.
 GRAM, MOST_STRINGS = 16, 128
 #: Bytes of text in a portion and in a shard, keys in a bucket, suffix tuples in a task's memory.
-PORTION_BYTES, SHARD_BYTES, BUCKET_KEYS, TUPLES = 8 << 20, 2 << 20, 1 << 20, 1 << 20
+PORTION_BYTES, SHARD_BYTES, BUCKET_KEYS, TUPLES = 4 << 20, 8 << 20, 1 << 20, 1 << 20
 NO_ID = np.iinfo(np.int64).max
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _ZSTD = pa.Codec("zstd", compression_level=3)
@@ -167,6 +167,12 @@ def _by_bucket(keys: np.ndarray, several: np.ndarray, buckets: int):
         yield int(of[a]), order[a:b], low[a:b][~several[a:b]], low[a:b][several[a:b]]
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time: each holds the texts of a portion."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _portion_of(row: dict, length: int) -> Portion:
     return Portion(row["ids"], row["sizes"], row["blob"], length)
 
@@ -174,7 +180,7 @@ def _portion_of(row: dict, length: int) -> Portion:
 def _told_keys(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 out = list(_by_bucket(*_portion_of(row, length).distinct_keys(), buckets))
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array([o[0] for o in out], pa.int64()), "portion": pa.array([row["portion"]] * len(out), pa.int64()),
@@ -208,7 +214,7 @@ def _shared_keys(portion: Portion, told: list, buckets: int) -> np.ndarray:
 def _send_segments(length: int, buckets: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 portion = _portion_of(row, length)
                 _, _, texts, shard, least = portion.segments(_shared_keys(portion, row["told"] or [], buckets), shards)
                 order = np.argsort(shard, kind="stable")
@@ -227,78 +233,106 @@ def _send_segments(length: int, buckets: int, shards: int):
 _SENT = pa.schema([("shard", pa.int64()), ("portion", pa.int64()), ("n", pa.int64()), ("bytes", pa.int64()), ("blob", pa.binary())])
 
 
+def _group_lows(order: Tape, starts: np.ndarray, least: np.ndarray, length: int, n: int) -> np.ndarray:
+    """For every place of a shard's text, the least document of the string there."""
+    groups, held = Tape(np.int64), None
+    for positions, common in order.blocks():
+        owner = least[np.searchsorted(starts, positions, side="right") - 1]
+        new = np.flatnonzero(common < length)
+        if held is None or (len(new) and new[0] == 0):
+            if held is not None:
+                groups.append(np.array([held]))
+            held = NO_ID
+        lows = np.minimum.reduceat(owner, np.r_[0, new[new > 0]])
+        lows[0] = min(lows[0], held)
+        groups.append(lows[:-1])
+        held = int(lows[-1])
+    groups.append(np.array([held]))
+    out, number = scratch_array(n, np.int64), -1
+    for positions, common in order.blocks():
+        group = number + np.cumsum((common < length) | ((np.arange(len(common)) == 0) & (number < 0)))
+        first = max(0, int(group[0]))
+        out[positions] = groups.read(first, int(group[-1]) + 1)[0][group - first]
+        number = int(group[-1])
+    return out
+
+
 def _order_shard(length: int, limit: int):
-    """Orders a shard's suffixes and tells its portions, for their segments,
-    which runs of strings a smaller document has, and the smallest such."""
+    """Tells the portions of a shard which strings of their segments a smaller
+    document has.
+
+    Equal segments count once, with the smallest document of all. Only strings
+    of one key can be equal, so the suffixes of a segment are ordered where its
+    key has other segments too.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        sent = [r for r in zip(*(table.column(c).to_pylist() for c in ("shard", "portion", "n", "bytes", "blob")))]
-        n = sum(r[3] + r[2] for r in sent) + 1
-        text = scratch_array(n + length, np.uint8)
-        count = sum(r[2] for r in sent)
-        starts, least, at, seg = scratch_array(count + 1, np.int64), scratch_array(count + 1, np.int64), 0, 0
+        sent = [r for r in zip(*(table.column(c).to_pylist() for c in ("portion", "shard", "n", "bytes", "blob")))]
+        known: dict[bytes, int] = {}
+        which, least_of = [], []
         for _, _, k, size, blob in sent:
             low, sizes, data = _unpack(blob, ("<i8", k), ("<u2", k), ("u1", size))
-            place = at + np.cumsum(sizes.astype(np.int64) + 1) - sizes - 1
-            # Symbols: 0 the end, 1 between segments, 2 and more the bytes of the text, none of which is above 253.
-            text[at : at + size + k] = 1
-            text[np.repeat(place - np.r_[0, np.cumsum(sizes[:-1].astype(np.int64))], sizes) + np.arange(size)] = data + np.uint8(2)
-            starts[seg : seg + k], least[seg : seg + k] = place, low
-            at, seg = at + size + k, seg + k
-        starts[count], least[count] = n - 1, NO_ID
-        order = sort_suffixes(text, n, limit, length)
-
-        # Smallest document of every group of equal strings, then of every place that has a larger one.
-        groups, held = Tape(np.int64), None
-        for positions, common in order.blocks():
-            owner = least[np.searchsorted(starts, positions, side="right") - 1]
-            new = np.flatnonzero(common < length)
-            if held is None or (len(new) and new[0] == 0):
-                if held is not None:
-                    groups.append(np.array([held]))
-                held = NO_ID
-            cuts = new[new > 0]
-            lows = np.minimum.reduceat(owner, np.r_[0, cuts])
-            lows[0] = min(lows[0], held)
-            groups.append(lows[:-1])
-            held = int(lows[-1])
-        groups.append(np.array([held]))
-        smaller, number = scratch_array(n, np.int64), -1
-        for a in range(0, n, BLOCK):
-            smaller[a : a + BLOCK] = NO_ID
-        for positions, common in order.blocks():
-            group = number + np.cumsum((common < length) | ((np.arange(len(common)) == 0) & (number < 0)))
-            (lows,) = groups.read(max(0, int(group[0])), int(group[-1]) + 1)
-            segment = np.searchsorted(starts, positions, side="right") - 1
-            low = lows[group - max(0, int(group[0]))]
-            whole = starts[np.minimum(segment + 1, count)] - 1 - positions >= length
-            hit = whole & (low < least[segment])
-            smaller[positions[hit]] = low[hit]
-            number = int(group[-1])
-        del order, groups
-
-        out, seg = [], 0
-        for shard, portion, k, _, _ in sent:
-            a, b = int(starts[seg]), int(starts[seg + k])
-            low = np.asarray(smaller[a:b])
-            hit = np.flatnonzero(low != NO_ID)
-            if len(hit):
-                first = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (low[hit[1:]] != low[hit[:-1]])])
-                begin, runs = hit[first], np.diff(np.r_[first, len(hit)])
-                segment = np.searchsorted(starts[seg : seg + k] - a, begin, side="right") - 1
-                blob = _pack(low[begin], segment.astype(np.uint32), (begin - (starts[seg : seg + k] - a)[segment]).astype(np.uint8), runs.astype(np.uint8))
-                out.append((portion, shard, len(begin), blob))
-            seg += k
+            raw, ends = data.tobytes(), np.cumsum(sizes.astype(np.int64)).tolist()
+            which.append(np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip([0, *ends[:-1]], ends)]))
+            least_of.append(low)
+        low = np.full(len(known), NO_ID, np.int64)
+        np.minimum.at(low, np.concatenate(which), np.concatenate(least_of))
+        texts = list(known)
+        del known
+        _, of_key, several = np.unique(_first_keys(texts, length), return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(several[of_key] > 1)
+        runs: dict[int, list[tuple[int, int]]] = {}
+        if len(mixed):
+            sizes = np.array([len(texts[i]) for i in mixed])
+            starts = scratch_array(len(mixed) + 1, np.int64)
+            starts[:-1], n = np.cumsum(sizes + 1) - sizes - 1, int(sizes.sum()) + len(mixed) + 1
+            starts[-1], least = n - 1, np.r_[low[mixed], NO_ID]
+            # Symbols: 0 the end, 1 between segments, 2 and more the bytes of the text, none of which is above 253
+            # (255 between the texts becomes 1).
+            text = scratch_array(n + length, np.uint8)
+            for a in range(0, len(mixed), 1 << 14):
+                part = mixed[a : a + (1 << 14)]
+                joined = np.frombuffer(b"\xff".join(texts[i] for i in part) + b"\xff", np.uint8) + np.uint8(2)
+                text[starts[a] : starts[a] + len(joined)] = joined
+            text[n - 1] = 0
+            lows = _group_lows(sort_suffixes(text, n, limit, length), starts, least, length, n)
+            for a in range(0, n - 1, BLOCK):
+                at = np.arange(a, min(a + BLOCK, n - 1))
+                segment = np.searchsorted(starts, at, side="right") - 1
+                hit = at[(starts[segment + 1] - 1 - at >= length) & (lows[at] < least[segment])]
+                if len(hit):
+                    first = np.flatnonzero(np.r_[True, hit[1:] != hit[:-1] + 1])
+                    for begin, long in zip(hit[first].tolist(), np.diff(np.r_[first, len(hit)]).tolist()):
+                        i = int(np.searchsorted(starts, begin, side="right")) - 1
+                        runs.setdefault(int(mixed[i]), []).append((begin - int(starts[i]), long))
+
+        out = []
+        for (portion, shard, k, _, _), text_of, own in zip(sent, which, least_of):
+            whole = np.flatnonzero(low[text_of] < own)
+            found = [(i, 0, len(texts[text_of[i]]) - length + 1) for i in whole.tolist()]
+            found += [(i, b, r) for i in np.flatnonzero(low[text_of] == own).tolist() for b, r in runs.get(int(text_of[i]), ())]
+            if found:
+                segment, begin, long = (np.array(x) for x in zip(*found))
+                out.append((portion, shard, len(found), _pack(segment.astype(np.uint32), begin.astype(np.uint8), long.astype(np.uint8))))
         schema = pa.schema([("portion", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
 
     return run
 
 
+def _first_keys(texts: list[bytes], length: int) -> np.ndarray:
+    """Key of every segment, which is that of its first string."""
+    out = np.empty(len(texts), np.uint64)
+    for a in range(0, len(texts), 1 << 14):
+        part = b"".join(t[:length] for t in texts[a : a + (1 << 14)])
+        out[a : a + (1 << 14)] = window_keys(np.frombuffer(part, np.uint8), length)[::length]
+    return out
+
+
 def _mark(length: int, buckets: int, shards: int, with_text: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 p = _portion_of(row, length)
                 mine, which, texts, shard, least = p.segments(_shared_keys(p, row["told"] or [], buckets), shards)
                 change = np.zeros(len(p.data) + 1, np.int64)
@@ -317,7 +351,7 @@ def _mark(length: int, buckets: int, shards: int, with_text: bool, schema: pa.Sc
                 shard_start = dict(zip(*(x.tolist() for x in np.unique(shard[order], return_index=True)))) if len(order) else {}
                 for reply in row["replies"] or []:
                     k = reply["n"]
-                    _, segment, begin, runs = _unpack(reply["blob"], ("<i8", k), ("<u4", k), ("u1", k), ("u1", k))
+                    segment, begin, runs = _unpack(reply["blob"], ("<u4", k), ("u1", k), ("u1", k))
                     of = order[shard_start[reply["shard"]] + segment.astype(np.int64)]
                     copies = bounds[of + 1] - bounds[of]
                     flat = np.repeat(bounds[of], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
