@@ -13,9 +13,12 @@ class Settings:
     outlier_contamination: float = 0.05
     bootstrap_iterations: int = 50
     forest_trees: int = 200
-    forest_depth: int = 8
+    # Values (rows x features) that one task grows a subtree from.
+    forest_task_cells: int = 4 << 20
     permutation_repeats: int = 8
     confidence_weights: tuple[float, float, float] = (0.3, 0.4, 0.3)
+    # None scores every row of a clustering; a number draws so many by hash.
+    silhouette_rows: int | None = None
     # None trains on every row; a number switches on the hash sample.
     max_modeling_rows: int | None = None
     # Columns with up to this many distinct values take their quantiles from a

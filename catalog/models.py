@@ -177,12 +177,11 @@ def _(t):
 
 @query(
     "e15_silhouette",
-    """with x as (select c_mktsegment as c, c_acctbal / 1000 as a, c_nationkey::double as b from customer),
-       k as (select c, count(*) as m, sum(a) as sa, sum(b) as sb, sum(a * a + b * b) as q from x group by 1),
-       d as (select x.c, x.a, x.b, k.c as other, k.m, greatest(k.m * (x.a * x.a + x.b * x.b) - 2 * (x.a * k.sa + x.b * k.sb) + k.q, 0.0) as t from x, k),
-       s as (select c, a, b, max(case when other = c then t / (m - 1) end) as inner_d, min(case when other <> c then t / m end) as outer_d from d group by all)
-       select (select count(*) from x) as n, (select count(*) from k) as clusters,
-              round(sum((outer_d - inner_d) / greatest(inner_d, outer_d)) / (select count(*) from x), 4) as silhouette from s""",
+    """with x as (select c_custkey as i, c_mktsegment as c, c_acctbal / 1000 as a, c_nationkey::double as b from customer),
+       k as (select c, count(*) as m from x group by 1),
+       d as (select x.i, x.c, y.c as other, sum(sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b))) as t from x, x y group by all),
+       s as (select d.i, max(case when other = d.c then t / (m - 1) end) as inner_d, min(case when other <> d.c then t / m end) as outer_d from d join k on k.c = d.other group by all)
+       select (select count(*) from x) as n, (select count(*) from k) as clusters, round(avg((outer_d - inner_d) / greatest(inner_d, outer_d)), 4) as silhouette from s""",
 )
 def _(t):
     df = t.customer.select("c_mktsegment", (F.col("c_acctbal") / 1000).alias("a"), F.col("c_nationkey").alias("b"))

@@ -1,13 +1,17 @@
+import tempfile
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from assay.operators import clustering, explain, features, supervised
+from assay.functions.columns import clean_input
+from assay.operators import clustering, explain, features, forest, linear, supervised
 from assay.settings import Settings
 
-# Few shallow trees keep the tests short; the operators are the same.
-QUICK = Settings(forest_trees=10, forest_depth=5)
+# Few trees keep the tests short; the operators are the same.
+QUICK = Settings(forest_trees=10)
 
 
 def test_kinds(churn):
@@ -69,24 +73,136 @@ def test_rare_classes_are_dropped(spark):
     assert [tuple(r) for r in features.keep_frequent_classes(df, "c").distinct().collect()] == [("a",)]
 
 
-def test_ridge_and_least_squares_match_their_closed_forms(spark):
+def test_linear_models_of_all_folds_match_their_closed_forms(spark):
+    """Nulls, a constant, a category seen in one fold only, dependent columns, a large offset."""
     rng = np.random.default_rng(9)
-    n = 120
-    x = rng.normal(size=(n, 3))
-    x = (x - x.mean(0)) / x.std(0)
-    x = np.column_stack([x, x[:, 0] > 0, x[:, 0] <= 0])  # the last two are dependent
-    y = x[:, :3] @ [2.0, -1.0, 0.5] + 3 + rng.normal(size=n)
-    df = spark.createDataFrame([(float(v), [float(a) for a in row]) for v, row in zip(y, x)], "_label double, a array<double>")
-    from pyspark.ml.functions import array_to_vector
-
-    train = df.select("_label", array_to_vector("a").alias("_features"))
-    made = supervised._regression_candidates(train, QUICK)
-    xc, yc = x - x.mean(0), y - y.mean()
-    ridge = np.linalg.solve(xc.T @ xc + np.eye(5), xc.T @ yc)
-    assert np.allclose(made["Ridge"].fit(train).coefficients.toArray(), ridge, atol=1e-6)
-    want = xc @ np.linalg.lstsq(xc, yc, rcond=None)[0] + y.mean()
-    got = made["LinearRegression"].fit(train).transform(train).toPandas()["prediction"]
-    assert np.allclose(sorted(got), sorted(want), atol=1e-5)
+    n, k = 123, 3
+    pdf = pd.DataFrame({"fold": np.arange(n) % k, "a": 1e6 + rng.normal(size=n), "b": rng.normal(size=n), "flat": 7.0, "c": rng.choice(["u", "v", "w"], n)})
+    pdf["d"] = pdf["b"] * 2
+    pdf.loc[pdf["fold"] == 1, "c"] = pdf.loc[pdf["fold"] == 1, "c"].replace("w", "only")
+    pdf["_label"] = 5e3 + 3 * (pdf["a"] - 1e6) + pdf["b"] + (pdf["c"] == "u") + rng.normal(size=n)
+    pdf.loc[::7, "a"] = np.nan
+    pdf["c"] = [None if i % 10 == 0 else c for i, c in enumerate(pdf["c"])]
+    df = clean_input(spark.createDataFrame(pdf, "fold int, a double, b double, flat double, c string, d double, _label double"))
+    m = linear.fold_moments(df.repartition(4), k, ["a", "b", "flat", "d"], ["c"])
+    for fold in range(-1, k):
+        train = pdf[pdf["fold"] != fold]
+        filled = pdf.assign(a=pdf["a"].fillna(train["a"].median()), c=pdf["c"].fillna(train["c"].mode()[0]))
+        tr = filled[filled["fold"] != fold]
+        parts = [(filled[x] - tr[x].mean()) / (tr[x].std(ddof=0) or 1) for x in ("a", "b", "flat", "d")] + [(filled["c"] == v) * 1.0 for v in sorted(train["c"].dropna().unique())]
+        x = np.column_stack(parts)
+        prep = m.preparation(fold)
+        assert prep.categorical["c"] == (train["c"].mode()[0], sorted(train["c"].dropna().unique()))
+        for name in ("a", "b", "flat", "d"):
+            assert np.allclose(prep.numeric[name], (train[name].median(), tr[name].mean(), tr[name].std(ddof=0)), rtol=1e-9, atol=1e-9)
+        inside = (pdf["fold"] != fold).to_numpy()
+        y = pdf["_label"].to_numpy()
+        xc, yc = x[inside] - x[inside].mean(0), y[inside] - y[inside].mean()
+        for penalty in (0.0, 1.0):
+            b = np.linalg.solve(xc.T @ xc + np.eye(x.shape[1]), xc.T @ yc) if penalty else np.linalg.lstsq(xc, yc, rcond=1e-8)[0]
+            want = y[inside].mean() + (x - x[inside].mean(0)) @ b
+            assert np.allclose(m.fit(fold, penalty).predict(x), want, atol=1e-6)
+            if fold >= 0:
+                out, held = ~inside, y[~inside]
+                r2 = 1 - ((held - want[out]) ** 2).sum() / ((held - held.mean()) ** 2).sum()
+                assert m.score(fold, penalty) == pytest.approx(r2, abs=1e-8)
+
+
+def test_one_scan_serves_all_folds(spark):
+    df = spark.range(100).select((F.col("id") % 5).cast("int").alias("fold"), F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("_label"))
+    df.write.mode("overwrite").parquet(path := tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/t")
+    products = linear.cross_products(spark.read.parquet(path), linear.stored_columns(["x"], {}, {"x": 0.0}, F.col("_label")), 5)
+    plan = products._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def naive_tree(x, y, w):
+    """Every split of every feature, by trying them all."""
+    def grow(rows):
+        best = None
+        for f in range(x.shape[1]):
+            values = np.unique(x[rows, f])
+            for a, b in zip(values[:-1], values[1:]):
+                left, right = rows[x[rows, f] <= a], rows[x[rows, f] > a]
+                gain = (w[left] @ y[left]) ** 2 / w[left].sum() + (w[right] @ y[right]) ** 2 / w[right].sum()
+                if best is None or gain > best[0] + 1e-12:
+                    best = (gain, f, a + (b - a) / 2, left, right)
+        if best is None or len(set(y[rows])) == 1:
+            return (w[rows] @ y[rows]) / w[rows].sum()
+        return best[1], best[2], grow(best[3]), grow(best[4])
+
+    return grow(np.flatnonzero(w > 0))
+
+
+def test_trees_equal_exhaustive_search():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 40, (60, 1)).astype(float)  # one feature: equal gains of different features are not ordered here
+    y = rng.normal(size=60)
+    y[:9] = 1.0
+    weights = [rng.poisson(1, 60) * rng.uniform(0.5, 2, 60) for _ in range(5)]
+    nodes = forest.grow(x, y, y[:, None], weights, forest.tree_seeds(np.arange(5), 1), 1)
+    for t, w in enumerate(weights):
+        tree = naive_tree(x, y, w)
+
+        def walk(node, row):
+            while isinstance(node, tuple):
+                node = node[2] if row[node[0]] <= node[1] else node[3]
+            return node
+
+        got = nodes.value[nodes.leaf_of(x, np.full(60, t)), 0]
+        assert np.allclose(got, [walk(tree, r) for r in x])
+    wide = rng.normal(size=(60, 4))
+    several = forest.grow(wide, y, y[:, None], weights, forest.tree_seeds(np.arange(5), 1), 4)
+    for t, w in enumerate(weights):
+        tree, inside = naive_tree(wide, y, w), w > 0
+        assert (several.feature[t], several.threshold[t]) == (tree[0], pytest.approx(tree[1]))
+        assert np.allclose(several.value[several.leaf_of(wide, np.full(60, t)), 0][inside], y[inside])  # pure leaves
+    packed = forest.Nodes.unpack(nodes.pack())
+    assert np.array_equal(packed.leaf_of(x, np.zeros(60)), nodes.leaf_of(x, np.zeros(60)))
+
+
+def prepared(spark, x, y, weight=None):
+    rows = [(i * 7919 + 13, float(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "_row long, _label double, x array<double>")
+    return df.select("_row", "_label", array_to_vector("x").alias("_features"))
+
+
+def test_forest_reaches_a_target_fifteen_splits_deep(spark):
+    """The parity of the leading 15 bits needs every one of them on its path."""
+    x = np.arange(1 << 15)[:, None].astype(float)
+    y = np.array([bin(v).count("1") % 2 for v in range(1 << 15)], float)
+    model = forest.fit_forest(prepared(spark, x, y), 8, 1)
+    got = model.transform(prepared(spark, x, y)).select("_label", "prediction").toPandas()
+    assert ((got["prediction"] > 0.5) == (got["_label"] > 0.5)).mean() > 0.9
+    nodes = forest.Nodes.unpack(bytes(model.parts.first()["blob"]))
+    depth, at = 0, np.array([0])
+    while len(at):
+        at = at[nodes.feature[at] >= 0]
+        at = np.r_[nodes.left[at], nodes.left[at] + 1]
+        depth += 1
+    assert depth > 15
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_large_nodes_are_split_across_tasks(spark, monkeypatch, classes):
+    """With room for 60 rows a task, the same data goes through histograms, parts and the join of rows and parts."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=900), rng.integers(0, 5, 900), rng.normal(size=900)])
+    y = (x[:, 0] > 0) + (x[:, 1] > 2) if classes else 3 * x[:, 0] + x[:, 1]
+    train = prepared(spark, x, y)
+    small = forest.fit_forest(train, 6, 1, classes)
+    wide = forest.fit_forest(train, 6, 1, classes, task_cells=180)
+    assert not wide.top.open and len(wide.top.parts) > 30 and small.top.nodes.feature.max() == -1
+    assert wide.parts.count() == len(wide.top.parts)
+    one = small.transform(train).orderBy("_row").toPandas()["prediction"]
+    two = wide.transform(train).orderBy("_row").toPandas()["prediction"]
+    monkeypatch.setattr(forest, "BROADCAST_BYTES", 0)
+    three = wide.transform(train).orderBy("_row").toPandas()["prediction"]
+    assert np.allclose(two, three)
+    if classes:
+        assert (one == y).mean() > 0.95 and (two == y).mean() > 0.95
+    else:
+        assert np.corrcoef(one, y)[0, 1] > 0.98 and np.corrcoef(two, y)[0, 1] > 0.98 and np.abs(one - two).mean() < 0.3
 
 
 def test_scores_match_their_definitions(spark):
@@ -124,12 +240,25 @@ def test_explanation_of_a_regression(regression):
     assert rows["vs_average"] == "below" and rows["value"] is None and float(rows["prediction"])
 
 
-def test_permutation_keeps_every_value_once_per_repeat(spark):
-    rows = spark.range(50).select("id", F.col("id").cast("double").alias("a"), F.col("id").cast("double").alias("b"), F.lit(1.0).alias("_label"))
-    out = supervised.permuted_rows(rows, ["id"], ["a", "b"], ["_label"], 3, 1).toPandas()
-    assert len(out) == 50 * 2 * 3
-    for _, g in out[out["feature"] == "a"].groupby("repeat"):
-        assert sorted(g["a"]) == list(range(50)) and (g["a"] != g["b"]).mean() > 0.8 and sorted(g["b"]) == list(range(50))
+def test_permuting_keeps_a_features_columns_together(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"id": np.arange(2500), "a": rng.normal(size=2500), "c": rng.choice(["u", "v", "w"], 2500)})
+    pdf["_label"] = pdf["a"] * 2 + (pdf["c"] == "u")
+    prep = features.Preparation({"a": (0.0, 0.0, 1.0)}, {"c": ("u", ["u", "v", "w"])})
+    model = linear.LinearModel(0.0, np.array([2.0, 1.0, 0.0, 0.0]))
+
+    def scorer(x):
+        assert np.array_equal(x[:, 1:].sum(1), np.ones(len(x)))
+        return model.predict(x)
+
+    df = spark.createDataFrame(pdf)
+    got = supervised.permuted_scores(df.repartition(3), ["id"], prep, scorer, "r2", 4, 1).toPandas().set_index(["feature", "repeat"])["score"]
+    again = supervised.permuted_scores(df.coalesce(1), ["id"], prep, scorer, "r2", 4, 1).toPandas().set_index(["feature", "repeat"])["score"]
+    assert len(got) == 9 and got.loc[("", 0)] == pytest.approx(1.0) and np.allclose(got.sort_index(), again.sort_index())
+    spread = pdf["_label"].var(ddof=0)
+    # Permuted columns lose twice their variance.
+    assert got.loc["a"].mean() == pytest.approx(1 - 2 * 4 * pdf["a"].var(ddof=0) / spread, abs=0.05)
+    assert got.loc["c"].mean() == pytest.approx(1 - 2 * (pdf["c"] == "u").var(ddof=0) / spread, abs=0.05)
 
 
 def test_too_little_data_is_not_trained(spark, churn):
@@ -160,7 +289,7 @@ def test_silhouette_agrees_with_the_library(spark):
     pdf = pd.DataFrame({"x": rng.normal(size=150), "y": rng.normal(size=150), "prediction": rng.integers(0, 3, 150)})
     df = spark.createDataFrame(pdf)
     want = ClusteringEvaluator(featuresCol="f").evaluate(VectorAssembler(inputCols=["x", "y"], outputCol="f").transform(df))
-    assert clustering.silhouette(df, "prediction", ["x", "y"]).first()["silhouette"] == pytest.approx(want, abs=1e-4)
+    assert clustering.silhouette(df, "prediction", ["x", "y"], metric="squared").first()["silhouette"] == pytest.approx(want, abs=1e-4)
 
 
 def test_clustering_finds_planted_groups(spark, monkeypatch):
@@ -187,3 +316,54 @@ def test_cluster_description_by_size_or_by_spread(spark):
     n = spark.createDataFrame([(0, 5), (1, 6)], "cluster int, n int")
     assert {r["feature"] for r in explain.describe_clusters(p, n, ["a", "b"]).collect()} == {"a"}
     assert explain.describe_clusters(p, n, ["a", "b"], spread=True).count() == 2
+
+
+def plain_silhouette(x, c):
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    out = []
+    for i in range(len(x)):
+        means = {k: gaps[i][c == k].sum() / ((c == k).sum() - (k == c[i])) if (c == k).sum() > (k == c[i]) else None for k in set(c)}
+        a, b = means[c[i]], min(v for k, v in means.items() if k != c[i])
+        out.append(0.0 if a is None or max(a, b) == 0 else (b - a) / max(a, b))
+    return np.mean(out)
+
+
+def test_silhouette_equals_its_definition_over_blocks(spark, monkeypatch):
+    """Clusters apart (bounds leave most out), overlapping ones, one of a single row, equal points; rows over many blocks."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (600, 2)), rng.normal(8, 1, (500, 2)), rng.normal(9, 2, (398, 2)), [[50.0, 50.0]], [[0.0, 0.0]]])
+    c = np.array(["a"] * 600 + ["b"] * 500 + ["c"] * 398 + ["lone", "a"])
+    df = spark.createDataFrame([(k, float(p), float(q)) for k, (p, q) in zip(c, x)] + [(None, 1.0, 1.0), ("a", None, 1.0)], "c string, p double, q double")
+    want = plain_silhouette(x, c)
+    for rows in (2048, 97):
+        monkeypatch.setattr(clustering, "BLOCK_ROWS", rows)
+        got = clustering.silhouette(df.repartition(5), "c", ["p", "q"]).first()
+        assert (got["n"], got["clusters"]) == (1500, 4) and got["silhouette"] == pytest.approx(want, abs=6e-5)
+    part = clustering.silhouette(df, "c", ["p", "q"], sampled=300).first()["silhouette"]
+    assert part != pytest.approx(want, abs=1e-9) and part == pytest.approx(want, abs=0.08)
+    assert clustering.silhouette(df.limit(0), "c", ["p", "q"]).first()["n"] == 0
+    assert clustering.silhouette(df.where("c = 'b'"), "c", ["p", "q"]).first()["silhouette"] is None
+
+
+def test_all_models_step_in_one_scan(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(m, 0.3, (150, 3)) for m in (0, 3, 6)])
+    vectors = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(3)
+    starts = {(k, s): clustering.starting_centers(x, k, s) for k in (2, 3, 5) for s in range(4)}
+    got = clustering.fit_all(vectors, starts, float(x.var(axis=0).mean()))
+    for name, centers in starts.items():
+        while True:  # Lloyd's steps of one model
+            to = ((x[:, None] - centers) ** 2).sum(2).argmin(1)
+            new = np.array([x[to == i].mean(0) if (to == i).any() else centers[i] for i in range(len(centers))])
+            cost = ((x - centers[to]) ** 2).sum()
+            if ((new - centers) ** 2).sum() <= clustering.TOLERANCE * x.var(axis=0).mean():
+                break
+            centers = new
+        assert np.allclose(got[name][0], centers) and got[name][1] == pytest.approx(cost)
+    steps, counted = [], clustering.lloyd_step
+    try:
+        clustering.lloyd_step = lambda v, m: steps.append(len(m)) or counted(v, m)
+        clustering.fit_all(vectors, starts, 1.0)
+    finally:
+        clustering.lloyd_step = counted
+    assert steps[0] == len(starts) and steps == sorted(steps, reverse=True)
