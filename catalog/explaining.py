@@ -9,7 +9,7 @@ from assay.operators.correlation import correlation_analysis
 from assay.operators.supervised import permutation_importance
 from assay.operators.validate import missing_shares
 from catalog import sqltext as q
-from catalog.models import linear_spend
+from catalog.models import searched_spend
 from catalog.registry import LINE_GAPS, gaps, joined, longs, plain, query, rounded
 
 DIRECTION = "case when {r} > 0 then 'increases' else 'decreases' end"
@@ -83,7 +83,7 @@ def _(t):
 
 @query("f4_explain_rows")
 def _(t):
-    m = linear_spend(t)
+    m = searched_spend(t)
     directions = explain.feature_directions(m.rows, "_label", m.features, "regression")
     return explain.explain_rows(m, explain.global_importance(permutation_importance(m), directions))
 
@@ -105,7 +105,7 @@ def _(t):
 
 @query("f6_explain_model")
 def _(t):
-    m = linear_spend(t)
+    m = searched_spend(t)
     m.feature_importance = permutation_importance(m)
     return explain.explain_model(m)["sentences"]
 

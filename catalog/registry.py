@@ -65,7 +65,11 @@ CUSTOMER_GAPS = """
 select c_custkey, c_nationkey, case when c_acctbal <= 9000 then c_acctbal end as c_acctbal,
        nullif(c_mktsegment, 'MACHINERY') as c_mktsegment from {customer}
 """
-LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+LINE_ALL = """
+select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, case when l_extendedprice <= 90000 then l_extendedprice end as l_extendedprice,
+       nullif(l_discount, 0.0) as l_discount, l_tax from {lineitem}
+"""
 LINE_GAPS = """
 select l_quantity, case when l_extendedprice <= 90000 then l_extendedprice end as l_extendedprice,
        nullif(l_discount, 0.0) as l_discount, l_tax, l_returnflag from {lineitem}

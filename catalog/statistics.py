@@ -11,9 +11,9 @@ from assay.plans.planner import ANALYSES
 from assay.plans.run import run_analyses
 from assay.operators.profile import column_profile
 from catalog import sqltext as q
-from catalog.registry import CUSTOMER_GAPS, LINE_GAPS, LINE_NUMBERS, gaps, longs, plain, query, rounded
+from catalog.registry import CUSTOMER_GAPS, LINE_ALL, LINE_NUMBERS, gaps, longs, plain, query, rounded
 
-GAPPED = f"({plain(LINE_GAPS)})"
+GAPPED = f"({plain(LINE_ALL)})"
 LINE_PAIRS = q.pairs(GAPPED, list(LINE_NUMBERS))
 
 
@@ -24,7 +24,7 @@ LINE_PAIRS = q.pairs(GAPPED, list(LINE_NUMBERS))
         from (select *, {q.correlation_p('r', 'n')} as p from ({LINE_PAIRS}))""",
 )
 def _(t):
-    return longs(correlation.correlation_analysis(gaps(t, LINE_GAPS), list(LINE_NUMBERS)), "rank")
+    return longs(correlation.correlation_analysis(gaps(t, LINE_ALL), list(LINE_NUMBERS)), "rank")
 
 
 @query(
@@ -34,7 +34,7 @@ def _(t):
         select c, c, 1.0 from (select unnest([{', '.join(f"'{c}'" for c in LINE_NUMBERS)}]) as c)""",
 )
 def _(t):
-    return correlation.correlation_matrix(gaps(t, LINE_GAPS), list(LINE_NUMBERS))
+    return correlation.correlation_matrix(gaps(t, LINE_ALL), list(LINE_NUMBERS))
 
 
 # Outlier steps over a given score: the order price turned around.
@@ -90,7 +90,7 @@ LONG = _long(GAPPED, LINE_NUMBERS)
                round(skewness(v), 3) as skew, round(kurtosis(v), 3) as kurtosis from ({LONG}) group by 1""",
 )
 def _(t):
-    d = distribution.distribution_analysis(gaps(t, LINE_GAPS), list(LINE_NUMBERS))
+    d = distribution.distribution_analysis(gaps(t, LINE_ALL), list(LINE_NUMBERS))
     return rounded(d.select("column", "n", "mean", "median", "std", "skew", "kurtosis"), 4, "mean", "median", "std")
 
 
@@ -133,7 +133,7 @@ def _(t):
         select "column", n::bigint as n, round(k2, 3) as k2, round(exp(-k2 / 2), 5) as normal_p from k where n >= 5000""",
 )
 def _(t):
-    d = distribution.normality_large(gaps(t, LINE_GAPS), list(LINE_NUMBERS))
+    d = distribution.normality_large(gaps(t, LINE_ALL), list(LINE_NUMBERS))
     return rounded(rounded(d, 3, "k2"), 5, "normal_p")
 
 
@@ -173,9 +173,9 @@ def _histogram_sql(long: str, bins: int) -> str:
                round(lo + bin * (hi - lo) / {bins}, 4) as upper_edge, coalesce(n, 0) as n from g left join c using ("column", bin)"""
 
 
-@query("d12_histogram", _histogram_sql(_long(GAPPED, ("l_quantity", "l_extendedprice")), 20))
+@query("d12_histogram", _histogram_sql(_long(GAPPED, LINE_NUMBERS), 20))
 def _(t):
-    return distribution.histogram(gaps(t, LINE_GAPS), ["l_quantity", "l_extendedprice"])
+    return distribution.histogram(gaps(t, LINE_ALL), list(LINE_NUMBERS))
 
 
 SERIES = "select o_orderkey, o_orderdate, case when o_totalprice <= 450000 then sqrt(o_totalprice) end as price from {orders}"
@@ -395,7 +395,7 @@ def _(t):
         on b in ({', '.join(f"'{c}'" for c in LINE_NUMBERS)}) using first(correlation) group by a""",
 )
 def _(t):
-    return charts.correlation_heatmap(gaps(t, LINE_GAPS), list(LINE_NUMBERS))
+    return charts.correlation_heatmap(gaps(t, LINE_ALL), list(LINE_NUMBERS))
 
 
 @query("j9_preview", "select o_orderkey, o_custkey, o_totalprice from orders order by o_orderkey limit 10")
