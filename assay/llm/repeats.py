@@ -30,7 +30,7 @@ from assay.llm.induced import BLOCK, Tape, scratch_array, sort_suffixes
 #: Bytes of the strings that are hashed; a segment has at most so many strings of one key.
 GRAM, MOST_STRINGS = 16, 128
 #: Bytes of text in a portion and in a shard, keys in a bucket, suffix tuples in a task's memory.
-PORTION_BYTES, SHARD_BYTES, BUCKET_KEYS, TUPLES = 4 << 20, 8 << 20, 1 << 20, 1 << 20
+PORTION_BYTES, SHARD_BYTES, BUCKET_KEYS, TUPLES = 4 << 20, 32 << 20, 1 << 20, 1 << 20
 NO_ID = np.iinfo(np.int64).max
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _ZSTD = pa.Codec("zstd", compression_level=3)
@@ -192,12 +192,13 @@ def _told_keys(length: int, buckets: int):
 
 def _answer_keys(table: pa.Table) -> pa.Table:
     """For every portion of a bucket, which of its keys are in another one."""
-    once = [np.frombuffer(b, np.uint32) for b in table.column("once").to_pylist()]
-    several = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("several").to_pylist()]))
-    keys, counts = np.unique(np.concatenate(once), return_counts=True)
-    shared = np.union1d(keys[counts > 1], several)
-    bits = [np.isin(k, shared) for k in once]
-    n_shared = [int(b.sum()) + len(s) // 4 for b, s in zip(bits, table.column("several").to_pylist())]
+    once, several = ([np.frombuffer(b, np.uint32) for b in table.column(c).to_pylist()] for c in ("once", "several"))
+    sizes = [len(k) for k in once]
+    keys, which, counts = np.unique(np.concatenate([*once, *several]), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    shared[which[sum(sizes) :]] = True
+    bits = np.split(shared[which[: sum(sizes)]], np.cumsum(sizes)[:-1])
+    n_shared = [int(b.sum()) + len(s) for b, s in zip(bits, several)]
     return pa.table({"portion": table.column("portion"), "bucket": table.column("bucket"), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary()), "n_shared": pa.array(n_shared, pa.int64())})
 
 
