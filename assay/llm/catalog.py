@@ -178,7 +178,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_file("byte_bpe_50k.json"))
 
 
 OP13_SQL = r"""

@@ -90,8 +90,8 @@ def test_token_counter_on_noise():
 
 
 def test_packing(odd, empty):
-    ranks, library = tokenizer_file("byte_bpe_50k.tiktoken"), Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    rows = packing.pack_documents(odd, ranks, window=256, with_ids=True).collect()
+    ranks, library = [tokenizer_file(f"byte_bpe_50k.{kind}") for kind in ("tiktoken", "json")], Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    rows = packing.pack_documents(odd, *ranks, window=256, with_ids=True).collect()
     sequences, ids = defaultdict(list), defaultdict(list)
     for r in rows:
         sequences[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -106,18 +106,56 @@ def test_packing(odd, empty):
         assert at & (at - 1) == 0 and at <= 256
     want = [library.encode(r[3] or "", add_special_tokens=False).ids + [0] for r in ROWS]
     assert sum(map(len, want)) == sum(r["length"] for r in rows)
-    for r, full in zip(ROWS, want):
-        pieces_ = sorted(ids[r[0], len(full)])
-        assert pieces_[0][0] == 0
-        assert {x for s, part in pieces_ for x in part} <= {x for w in want for x in w}
-    assert packing.pack_documents(empty, ranks).count() == 0
+    # The ids of a document, in order and once each; equal rows are told apart by nothing and share a key.
+    for key in {(r[0], len(w)) for r, w in zip(ROWS, want)}:
+        texts = [w for r, w in zip(ROWS, want) if (r[0], len(w)) == key]
+        assert all(w == texts[0] for w in texts)
+        at = Counter()
+        for start, part in ids[key]:
+            assert part == texts[0][start : start + len(part)]
+            at.update(range(start, start + len(part)))
+        assert at == Counter({i: len(texts) for i in range(key[1])})
+    assert packing.pack_documents(empty, *ranks).count() == 0
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", " \n\t"])
+def test_packing_of_very_long_white_space(llm_spark, blank):
+    text = "Some words" + blank * (2_000_000 // len(blank)) + "and more."
+    ranks = [tokenizer_file(f"byte_bpe_50k.{kind}") for kind in ("tiktoken", "json")]
+    want = Tokenizer.from_file(ranks[1]).encode(text, add_special_tokens=False).ids + [0]
+    rows = packing.pack_documents(llm_spark.createDataFrame([(1, text)], "doc_id long, text string"), *ranks, with_ids=True).collect()
+    got = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in sorted(rows, key=lambda r: r["start"])])
+    assert got.tolist() == want
+    for n in (99_990, 100_001, 150_000):  # both ways to encode agree
+        some = "x" + blank * n + "y"
+        assert packing.encode_text(some, *ranks, (("<|endoftext|>", 50256),)).tolist() == Tokenizer.from_file(ranks[1]).encode(some, add_special_tokens=False).ids
+
+
+def test_step_groups_are_balanced_across_tasks(llm_spark):
+    rng = random.Random(7)
+    rows = [(i, "word " * int(rng.paretovariate(0.8) * 20 % 3000)) for i in range(3000)]
+    ranks = [tokenizer_file(f"byte_bpe_50k.{kind}") for kind in ("tiktoken", "json")]
+    packed = packing.pack_documents(llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(7), *ranks, group_tokens=2048)
+    sums, sizes = Counter(), defaultdict(set)
+    for r in packed.collect():
+        sums[r["step_group"]] += r["length"]
+        sizes[r["tier"]].add(r["step_group"])
+    assert {1024, 512, 256, 128, 64} <= set(sizes)
+    for groups in sizes.values():
+        whole = sorted(groups)[:-1]
+        assert all(sums[g] == 2048 for g in whole) and 0 < sums[max(groups)] <= 2048
 
 
 def test_packer_covers_every_id_once():
     rng, packer = random.Random(5), packing.TierPacker(1024, 64)
     sizes = [int(rng.paretovariate(1) * 50) % 5000 + 1 for _ in range(800)]
     full, left = packer.pack(sizes)
-    assert all(sum(p[2] for p in s) == 1024 for s in full)
+    for sequence in full:
+        total = sum(p[2] for p in sequence)
+        # A window is as long as the tier of the piece it begins with, and what fills its gap is shorter.
+        assert total in packer.tiers and min(t for t in packer.tiers if t >= sequence[0][2]) == total
+        assert all(p[2] <= total - sequence[0][2] for p in sequence[1:])
+    assert {sum(p[2] for p in s) for s in full} >= {1024, 512, 256}  # short pieces may all have gone into gaps
     last = Counter()
     for doc, start, n in sorted(p for s in full + packer.finish(left) for p in s):
         assert last[doc] == start
