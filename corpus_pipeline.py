@@ -48,7 +48,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document."""
-    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_file("byte_bpe_50k.json"))
 
 
 STAGES = [
