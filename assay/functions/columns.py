@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
@@ -61,12 +63,50 @@ def as_number(df: DataFrame, name: str) -> Column:
 
 def as_time(df: DataFrame, name: str, day_first: bool = False) -> Column:
     """The column as TIMESTAMP; text that is no time becomes null. Where both
-    orders of day and month are possible, ``day_first`` decides."""
+    orders of day and month are possible, ``day_first`` decides.
+
+    A value is parsed with the layouts that its signature (digits as 9, letters
+    as a) fits and with no other, so that hardly any attempt fails.
+    """
     dt = df.schema[name].dataType
     c = F.col(f"`{name}`")
-    if isinstance(dt, T.StringType):
-        return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) if p else c.try_cast("timestamp") for p in (DAY_FIRST if day_first else MONTH_FIRST)])
-    return c.cast("timestamp")
+    if not isinstance(dt, T.StringType):
+        return c.cast("timestamp")
+    signature = F.translate(c, _FROM, _TO)
+    by_layouts: dict[tuple[str, ...], list[str]] = {}
+    for known, layouts in _layouts_of(DAY_FIRST if day_first else MONTH_FIRST).items():
+        by_layouts.setdefault(layouts, []).append(known)
+    parsed = F.lit(None).cast("timestamp")
+    for layouts, signatures in by_layouts.items():
+        parsed = F.when(signature.isin(signatures), F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in layouts])).otherwise(parsed)
+    return F.coalesce(c.try_cast("timestamp"), parsed)
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FROM, _TO = "0123456789" + _LETTERS, "9" * 10 + "a" * len(_LETTERS)
+# Signatures that a pattern letter run can take; month names have 3 to 9 letters.
+_FIELDS = {"yyyy": ["9999"], "yy": ["99"], "MMMM": ["a" * n for n in range(3, 10)], "MMM": ["aaa"], "MM": ["99"], "dd": ["99"], "mm": ["99"], "ss": ["99"], "M": ["9", "99"], "d": ["9", "99"], "H": ["9", "99"]}
+
+
+def _signatures(layout: str) -> list[str]:
+    """Every signature that a layout reads, optional parts with and without."""
+    if "[" in layout:
+        at = layout.index("[")
+        return _signatures(layout[:at]) + _signatures(layout[:at] + layout[at + 1 : -1])
+    out = [""]
+    for part in re.findall(r"([A-Za-z])(\1*)|([^A-Za-z])", layout):
+        options = _FIELDS[part[0] + part[1]] if part[0] else [part[2]]
+        out = [o + x for o in out for x in options]
+    return out
+
+
+def _layouts_of(layouts: tuple) -> dict[str, tuple[str, ...]]:
+    """Signature -> the layouts to try, in their order; None is read by the cast."""
+    out: dict[str, tuple[str, ...]] = {}
+    for layout in layouts:
+        for signature in _signatures(layout) if layout else []:
+            out[signature] = (*out.get(signature, ()), layout)
+    return out
 
 
 # Accepted layouts of date-like text; None is the ISO form.

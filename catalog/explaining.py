@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assay.functions.hashing import poisson_cuts
 from assay.operators import confidence as conf, explain, segments
 from assay.operators.correlation import correlation_analysis
 from assay.operators.supervised import permutation_importance
@@ -144,10 +145,11 @@ def _(t):
 
 
 REPS = "with r as (select unnest(range(0, 50)) as rep)"
+# round(2^32 * CDF) of the Poisson(1) law; eight hex digits order like their number.
+POISSON_CASES = " ".join(f"when h < '{cut:08x}' then {value}" for value, cut in enumerate(poisson_cuts()))
 BOOT_SQL = f"""{REPS}, o as (select o_orderkey::varchar as k, o_custkey::double as x, o_totalprice - o_custkey * 100.0 as y from orders),
- d as (select rep, x, y, substr(md5(k || ':' || (rep // 8)), (rep % 8) * 4 + 1, 4) as h from o, r),
- w as (select rep, x, y, case when h < '5e2d' then 0 when h < 'bc5b' then 1 when h < 'eb71' then 2 when h < 'fb24' then 3 when h < 'ff10' then 4
-              when h < 'ffd9' then 5 else 6 end as w from d),
+ d as (select rep, x, y, substr(md5(k || ':' || (rep // 4)), (rep % 4) * 8 + 1, 8) as h from o, r),
+ w as (select rep, x, y, case {POISSON_CASES} else {len(poisson_cuts())} end as w from d),
  m as (select rep, sum(w) as n, sum(w * x) / sum(w) as mx, sum(w * y) / sum(w) as my from w group by 1),
  c as (select w.rep, sum(w * (x - mx) * (y - my)) / sqrt(sum(w * (x - mx) * (x - mx)) * sum(w * (y - my) * (y - my))) as r from w join m using (rep) group by 1)"""
 

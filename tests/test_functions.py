@@ -1,9 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assay.functions import hashing, pvalues, text
+from assay.functions import columns, hashing, pvalues, text
 
 
 def one(spark, c):
@@ -78,5 +79,30 @@ def test_uniform_and_poisson_are_well_spread(spark):
     df = spark.range(20000).select(hashing.key_text("id").alias("k"))
     u = df.select(hashing.uniform(F.col("k"), 3).alias("u")).agg(F.avg("u"), F.min("u"), F.max("u")).first()
     assert abs(u[0] - 0.5) < 0.01 and u[1] >= 0 and u[2] < 1
-    w = df.select(hashing.poisson_from_hex(F.substring(F.md5("k"), 1, 4)).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
-    assert abs(w[0] - 1) < 0.03 and abs(w[1] - 1) < 0.06
+    drawn = [bytes(r["d"]) for r in df.select(hashing.digests(F.col("k"), 6).alias("d")).collect()]
+    w = hashing.poisson_weights(drawn, 6)
+    assert w.shape == (20000, 6) and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and w.max() > 6
+    assert abs(np.corrcoef(w.T) - np.eye(6)).max() < 0.03
+
+
+def test_poisson_cuts_reach_the_end_of_the_tail():
+    cuts = hashing.poisson_cuts(32)
+    assert cuts == sorted(set(cuts)) and len(cuts) >= 11
+    shares = np.diff([0, *cuts, 2**32]) / 2**32
+    assert np.allclose(shares[:-1], [math.exp(-1) / math.factorial(k) for k in range(len(cuts))], atol=2**-31)
+    assert hashing.poisson_weights([b"\xff\xff\xff\xff" + bytes(12)], 2).tolist() == [[len(cuts), 0.0]]
+
+
+@pytest.mark.parametrize("day_first", [False, True])
+def test_signatures_try_the_layouts_that_could_read_a_text(spark, day_first):
+    """The same readings as trying every layout in turn."""
+    numbers = [f"{a}{s}{b}{s}{c}{t}" for s in "/-." for a, b, c in (("1", "2", "2024"), ("31", "12", "2023"), ("12", "31", "2023"), ("13", "13", "2020"), ("2024", "1", "2"), ("2024", "12", "31"), ("1", "2", "24"), ("01", "02", "99"))
+               for t in ("", " 7:05", " 17:05:09", " 7:5", "T10:00")]
+    words = ["5-Jan-2024", "05 Feb 2024", "5 March 2024", "Mar 5, 2024", "Mar 5 2024", "September 30, 2024", "May 1 2024", "1 May 2024", "Sept 1, 2024", "31 November 2024"]
+    other = ["20240131", "20241301", "2024-01-31 10:11:12.5", "2024", "x", "", " 2024-01-02 ", "12:30", "1.5", "٣/٤/٢٠٢٤", None]
+    df = spark.createDataFrame([(v,) for v in numbers + words + other], "t string")
+    c, layouts = F.col("t"), columns.DAY_FIRST if day_first else columns.MONTH_FIRST
+    every = F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) if p else c.try_cast("timestamp") for p in layouts])
+    rows = df.select("t", columns.as_time(df, "t", day_first).alias("got"), every.alias("want")).collect()
+    assert [(r["t"], r["got"]) for r in rows] == [(r["t"], r["want"]) for r in rows]
+    assert sum(r["got"] is not None for r in rows) > 40
