@@ -72,12 +72,12 @@ def shape_errors(rows: Column, cols: int) -> Column:
     few_rows = F.when(
         rows < MIN_ROWS,
         F.format_string(
-            f"Dataset has only %d rows; at least {MIN_ROWS} are needed for meaningful analysis.", rows
+            f"The table has %d rows, fewer than the {MIN_ROWS} that an analysis takes.", rows
         ),
     )
     few_cols = F.when(
         F.lit(cols) < MIN_COLS,
-        F.lit(f"Dataset has only {cols} column(s); at least {MIN_COLS} are needed."),
+        F.lit(f"The table has {cols} column(s), fewer than the {MIN_COLS} that an analysis takes."),
     )
     return F.array_compact(F.array(few_rows, few_cols))
 
@@ -117,15 +117,15 @@ def validate(df: DataFrame) -> DataFrame:
         F.array(
             F.when(
                 F.size("empty") > 0,
-                F.concat(F.lit("Columns entirely empty (will be ignored): "), _name_list(F.col("empty"))),
+                F.concat(F.lit("Columns without any value, which are left out: "), _name_list(F.col("empty"))),
             ),
             F.when(
                 F.size("sparse") > 0,
-                F.concat(F.lit("Columns with >50% missing values: "), _name_list(F.col("sparse"))),
+                F.concat(F.lit("Columns with gaps in more than half of the rows: "), _name_list(F.col("sparse"))),
             ),
             F.when(
                 F.col("duplicate_rows") > 0,
-                F.concat(F.col("duplicate_rows").cast("string"), F.lit(" fully-duplicated row(s) detected.")),
+                F.concat(F.col("duplicate_rows").cast("string"), F.lit(" row(s) repeat an earlier one in full.")),
             ),
         )
     )

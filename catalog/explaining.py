@@ -55,9 +55,9 @@ def _(t):
 
 @query(
     "f3_feature_sentences",
-    f"""select rank, feature, f || ' is ' || case when rank = 1 then 'the strongest predictor' else 'the #' || rank || ' predictor' end || ' — ' ||
-          case when direction in ('increases', 'decreases') then 'higher ' || f || ' tends to ' || case direction when 'increases' then 'raises' else 'lowers' end
-               || ' the predicted value' else f || ' is an influential factor' end || '.' as sentence
+    f"""select rank, feature, f || ' is ' || case when rank = 1 then 'the leading feature' else 'the #' || rank || ' feature' end || ' — ' ||
+          case when direction in ('increases', 'decreases') then 'higher ' || f || ' goes with ' || case direction when 'increases' then 'a higher' else 'a lower' end
+               || ' predicted value' else f || ' also matters' end || '.' as sentence
         from (select *, {q.title('feature')} as f from ({RANKED_SQL})) where rank <= 5""",
 )
 def _(t):

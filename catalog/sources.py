@@ -150,7 +150,7 @@ def _(t):
 @query(
     "b1_shape_check",
     """select name, row_count, col_count, case when row_count < 10 then
-         'Dataset has only ' || row_count || ' rows; at least 10 are needed for meaningful analysis.' else '' end as errors
+         'The table has ' || row_count || ' rows, fewer than the 10 that an analysis takes.' else '' end as errors
        from (select 'region' as name, count(*) as row_count, 2::bigint as col_count from region
              union all select 'lineitem', count(*), 11 from lineitem)""",
 )
@@ -193,8 +193,8 @@ ITEMS = "select l_linenumber, l_discount, nullif(l_returnflag, l_returnflag) as
 
 @query(
     "b5_validate",
-    f"""select true as valid, 'Columns entirely empty (will be ignored): [''nothing'']|' ||
-          (count(*) - (select count(*) from (select distinct * from ({plain(ITEMS)})))) || ' fully-duplicated row(s) detected.' as warnings,
+    f"""select true as valid, 'Columns without any value, which are left out: [''nothing'']|' ||
+          (count(*) - (select count(*) from (select distinct * from ({plain(ITEMS)})))) || ' row(s) repeat an earlier one in full.' as warnings,
           '' as errors, count(*) as row_count, 3::bigint as col_count from ({plain(ITEMS)})""",
 )
 def _(t):

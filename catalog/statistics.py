@@ -276,7 +276,7 @@ def _(t):
 @query(
     "d24_result_rows",
     f"""select 'customer' as run_id, 0 as seq, 'segment_comparison' as analysis_type,
-          'Compared C Acctbal across ' || count(*) || ' segments of C Mktsegment.' as summary, 2 as findings, 0 as warnings
+          'Set side by side: C Acctbal across ' || count(*) || ' groups by C Mktsegment.' as summary, 2 as findings, 0 as warnings
         from ({SEGMENTS_SQL})""",
 )
 def _(t):

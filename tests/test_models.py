@@ -235,7 +235,7 @@ def test_explanation_of_a_regression(regression):
     e = explain.explain_model(regression)
     ranked = {r["feature"]: r["direction"] for r in e["global_importance"].collect()}
     assert ranked["a"] == "increases" and ranked["c"] == "varies by category"
-    assert e["sentences"].first()["sentence"].startswith("A is the strongest predictor — higher A tends to raises")
+    assert e["sentences"].first()["sentence"].startswith("A is the leading feature — higher A goes with a higher")
     rows = e["rows"].where("id = 0 and feature = 'a'").first()
     assert rows["vs_average"] == "below" and rows["value"] is None and float(rows["prediction"])
 

@@ -42,7 +42,7 @@ def test_load_any_reports_and_validates(spark, tmp_path):
     loaded = tables.load_any(spark, path, "few.csv")
     assert loaded.metadata.first().asDict() == {"source_kind": "csv", "filename": "few.csv", "rows": 2, "cols": 2}
     v = loaded.validation.first()
-    assert v["valid"] is False and "only 2 rows" in v["errors"][0] and v["warnings"] == ["1 fully-duplicated row(s) detected."]
+    assert v["valid"] is False and "has 2 rows" in v["errors"][0] and v["warnings"] == ["1 row(s) repeat an earlier one in full."]
 
 
 def test_largest_table_takes_the_first_of_equals_and_skips_unreadable(spark, tmp_path):
@@ -58,7 +58,7 @@ def test_validation_of_gaps(spark):
     )
     v = validate.validate(df).first()
     assert v["valid"] and v["row_count"] == 12 and v["col_count"] == 4
-    assert v["warnings"] == ["Columns entirely empty (will be ignored): ['b']", "Columns with >50% missing values: ['c']"]
+    assert v["warnings"] == ["Columns without any value, which are left out: ['b']", "Columns with gaps in more than half of the rows: ['c']"]
     shares = {r["name"]: r["null_count"] for r in validate.missing_shares(df).collect()}
     assert shares == {"a": 0, "b": 12, "c": 7, "d": 5}
 
