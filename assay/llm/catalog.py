@@ -106,8 +106,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fence_sql() -> str:
-    per = {"word_length": ("word_chars", "n_words"), "symbol_share": ("n_symbols", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines")}
-    union = " union all ".join(f"select lang, source, '{k}' as measure, 1000 * {a} // {b} as v from m where {b} > 0" for k, (a, b) in per.items())
+    per = {"word_length": "1000 * word_chars // n_words", **{m: f"1000 * {a} // {b}" for m, (a, b) in quality.SHARES.items()}, "n_words": "n_words", "n_lines": "n_lines"}
+    size = {m: "n_lines" if m in ("dup_line_share", "n_lines") else "n_words" for m in per}
+    union = " union all ".join(f"select lang, source, '{k}' as measure, {v} as v from m where {size[k]} > 0" for k, v in per.items())
     quant = ", ".join(f"min(case when upto * {b} >= rows * {a} then bucket end) as q_{q}" for q, (a, b) in quality.QUANTILES.items())
 
     def level(name: str, by: list[str]) -> str:
@@ -117,27 +118,24 @@ def _fence_sql() -> str:
         {name}_r as (select *, sum(n) over (partition by {keys}measure) as rows, sum(n) over (partition by {keys}measure order by bucket) as upto from {name}_c),
         {name} as (select {keys}measure, max(rows) as rows, {quant} from {name}_r group by {keys}measure)"""
 
-    up = " ".join(f"when '{k}' then q_middle + greatest({h}, {quality.REACH} * (q_high - q_middle))" for k, (h, _) in quality.FENCES.items())
-    down = " ".join(f"when '{k}' then q_middle - greatest({w}, {quality.REACH} * (q_middle - q_low))" for k, (_, w) in quality.FENCES.items() if w)
-    inside = " and ".join(
-        f"coalesce((select 1000 * {a} // {b} <= t.high and 1000 * {a} // {b} >= coalesce(t.low, -1000000) from t where t.lang is not distinct from m.lang and t.source is not distinct from m.source and t.measure = '{k}' and {b} > 0), true)"
-        for k, (a, b) in per.items()
-    )
-    least = quality.LEAST_ROWS
+    least, reach = quality.LEAST_ROWS, quality.REACH
+    picked = ", ".join(f"case when o.rows >= {least} then o.q_{q} when l.rows >= {least} then l.q_{q} else a.q_{q} end as q_{q}" for q in quality.QUANTILES)
+    wide = ", ".join(f"max(q_{q}) filter (measure = '{m}') as {m}_{q}" for m in per for q in quality.QUANTILES)
+    spread = "greatest(least(word_length_high - word_length_middle, word_length_middle - word_length_low), (10 ** greatest(length(word_length_middle::varchar) - 3, 0))::bigint)"
+    inside = f"coalesce(1000 * word_chars // nullif(n_words, 0) between word_length_middle - {reach} * {spread} and word_length_middle + {reach} * {spread}, true)"
+    for m, (a, b) in quality.SHARES.items():
+        inside += f" and coalesce({a} <= {quality.FEW} or 1000 * {a} // nullif({b}, 0) <= {m}_upper + {1000 * quality.SLACK} // {b}_middle, true)"
     return f"""
     sk as (select lang, source, measure, v - v % (10 ** greatest(length(v::varchar) - 3, 0))::bigint as bucket from ({union})),
     {level("own", ["lang", "source"])}, {level("ofl", ["lang"])}, {level("oall", [])},
     picked as (
-        select o.lang, o.source, o.measure,
-               case when o.rows >= {least} then o.q_low when l.rows >= {least} then l.q_low else a.q_low end as q_low,
-               case when o.rows >= {least} then o.q_middle when l.rows >= {least} then l.q_middle else a.q_middle end as q_middle,
-               case when o.rows >= {least} then o.q_high when l.rows >= {least} then l.q_high else a.q_high end as q_high
+        select o.lang, o.source, o.measure, {picked}
         from own o join ofl l on l.lang is not distinct from o.lang and l.measure = o.measure join oall a on a.measure = o.measure
-    ), t as (select lang, source, measure, case measure {up} end as high, case measure {down} end as low from picked)
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    ), t as (select lang, source, {wide} from picked group by lang, source)
+    select m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
            n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
            not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and {inside} as kept
-    from m"""
+    from m left join t on t.lang is not distinct from m.lang and t.source is not distinct from m.source"""
 
 
 OP7_SQL = f"""

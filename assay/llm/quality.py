@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assay.llm.common import stored
 
-# Measures per thousand, with the least distance that the upper
-# and the lower fence keep from the group's median (None: no fence).
-FENCES = {"word_length": (3000, 2000), "symbol_share": (1000, None), "dup_line_share": (500, None)}
-QUANTILES = {"low": (1, 10), "middle": (1, 2), "high": (9, 10)}
-REACH = 3
+# Quantiles of a group, how many spreads of a measure its fences
+# are away, and how many occurrences are few, in a text of the group's median
+# size and in any text.
+QUANTILES = {"low": (1, 10), "middle": (1, 2), "upper": (2, 3), "high": (9, 10)}
+REACH = 4
+SLACK, FEW = 3, 2
 LEAST_ROWS = 100
+#: Measures that are shares of a size; most texts have none of what they count.
+SHARES = {"symbol_share": ("n_symbols", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines")}
 _GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -65,12 +68,14 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def shares() -> dict[str, Column]:
-    """The fenced measures, in thousandths; null for a text without words."""
+def values() -> dict[str, Column]:
+    """What the sketches count: word length and shares in thousandths, and the
+    sizes; null for a text without words."""
     def per(a: str, b: str) -> Column:
         return F.expr(f"case when {b} > 0 then 1000 * {a} div {b} end")
 
-    return {"word_length": per("word_chars", "n_words"), "symbol_share": per("n_symbols", "n_words"), "dup_line_share": per("n_dup_lines", "n_lines")}
+    sizes = {size: F.expr(f"case when {size} > 0 then {size} end") for _, size in SHARES.values()}
+    return {"word_length": per("word_chars", "n_words"), **{m: per(*of) for m, of in SHARES.items()}, **sizes}
 
 
 def bucket(value: Column) -> Column:
@@ -81,53 +86,63 @@ def bucket(value: Column) -> Column:
 
 def sketch(measured: DataFrame, groups: list[str]) -> DataFrame:
     """``groups, measure, bucket, n``: one row per occupied bucket."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in shares().items()])
-    values = measured.select(*groups, F.inline(pairs)).where("value is not null")
-    return values.groupBy(*groups, "measure", bucket(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in values().items()])
+    counted = measured.select(*groups, F.inline(pairs)).where("value is not null")
+    return counted.groupBy(*groups, "measure", bucket(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def fences(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """``groups, measure, rows, lowest, highest`` from the quantiles of a sketch."""
+def quantiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
+    """``groups, measure, rows`` and the quantiles of the merged sketches."""
     by = [*groups, "measure"]
     merged = sketches.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by)
     ranked = merged.withColumn("_rows", F.sum("n").over(group)).withColumn("_upto", F.sum("n").over(group.orderBy("bucket")))
     # The smallest bucket that at least the wanted share of rows do not exceed.
-    found = ranked.groupBy(*by).agg(
+    return ranked.groupBy(*by).agg(
         F.max("_rows").alias("rows"), *[F.min(F.when(F.col("_upto") * b >= F.col("_rows") * a, F.col("bucket"))).alias(q) for q, (a, b) in QUANTILES.items()]
     )
-    high, low = F.lit(None).cast("long"), F.lit(None).cast("long")
-    for name, (up, down) in FENCES.items():
-        is_it = F.col("measure") == name
-        high = F.when(is_it, F.col("middle") + F.greatest(F.lit(up), REACH * (F.col("high") - F.col("middle")))).otherwise(high)
-        if down is not None:
-            low = F.when(is_it, F.col("middle") - F.greatest(F.lit(down), REACH * (F.col("middle") - F.col("low")))).otherwise(low)
-    return found.select(*by, "rows", low.alias("lowest"), high.alias("highest"))
+
+
+def fences(of: DataFrame) -> DataFrame:
+    """The fences of each group from its quantiles, one row per group.
+
+    Word length may be ``REACH`` spreads from the median; the spread is the
+    smaller one of the two sides, which junk on one side does not widen, and at
+    least a bucket's width. A share may exceed the quantile at two thirds, which
+    a third of junk does not reach, by ``SLACK`` occurrences in a text of the
+    group's median size.
+    """
+    width = F.pow(F.lit(10), F.greatest(F.length(F.col("word_length_middle").cast("string")) - 3, F.lit(0))).cast("long")
+    spread = F.greatest(F.least(F.col("word_length_high") - F.col("word_length_middle"), F.col("word_length_middle") - F.col("word_length_low")), width)
+    out = of.withColumn("word_length_lowest", F.col("word_length_middle") - REACH * spread).withColumn("word_length_highest", F.col("word_length_middle") + REACH * spread)
+    for name, (_, size) in SHARES.items():
+        out = out.withColumn(f"{name}_highest", F.col(f"{name}_upper") + F.expr(f"{1000 * SLACK} div {size}_middle"))
+    return out
 
 
 def thresholds(measured: DataFrame, lang: str, source: str) -> DataFrame:
-    """One row per language and source with a fence for every measure."""
+    """One row per language and source with its quantiles and fences."""
     fine = stored(sketch(measured.select(F.col(lang).alias("_lang"), F.col(source).alias("_source"), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"), ["_lang", "_source"]), "sketch")
-    own, of_lang, of_all = fences(fine, ["_lang", "_source"]), fences(fine, ["_lang"]), fences(fine, [])
+    own, of_lang, of_all = quantiles(fine, ["_lang", "_source"]), quantiles(fine, ["_lang"]), quantiles(fine, [])
     chosen = (
         own.alias("o")
         .join(of_lang.alias("l"), F.col("o._lang").eqNullSafe(F.col("l._lang")) & (F.col("o.measure") == F.col("l.measure")))
-        .join(F.broadcast(of_all).alias("a"), F.col("o.measure") == F.col("a.measure"))  # three rows
+        .join(F.broadcast(of_all).alias("a"), F.col("o.measure") == F.col("a.measure"))  # a row per measure
     )
 
     def pick(name: str) -> Column:
-        return F.when(F.col("o.rows") >= LEAST_ROWS, F.col(f"o.{name}")).when(F.col("l.rows") >= LEAST_ROWS, F.col(f"l.{name}")).otherwise(F.col(f"a.{name}"))
+        return F.when(F.col("o.rows") >= LEAST_ROWS, F.col(f"o.{name}")).when(F.col("l.rows") >= LEAST_ROWS, F.col(f"l.{name}")).otherwise(F.col(f"a.{name}")).alias(name)
 
-    flat = chosen.select(F.col("o._lang").alias("_lang"), F.col("o._source").alias("_source"), F.col("o.measure").alias("measure"), pick("lowest").alias("lowest"), pick("highest").alias("highest"))
-    sides = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in FENCES for side in ("lowest", "highest")]
-    return flat.groupBy("_lang", "_source").agg(*sides)
+    flat = chosen.select(F.col("o._lang").alias("_lang"), F.col("o._source").alias("_source"), F.col("o.measure").alias("measure"), *map(pick, QUANTILES))
+    sides = [F.max(F.when(F.col("measure") == m, F.col(q))).alias(f"{m}_{q}") for m in values() for q in QUANTILES]
+    return fences(flat.groupBy("_lang", "_source").agg(*sides))
 
 
 def judge(docs: DataFrame, keys: list[str], lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """``keys``, the measures, ``base_failed`` and ``kept`` for every row.
 
     A text that fails the base rules goes; else it stays while every measure
-    lies within the fences of its language and source (null is a group like any
+    lies within the fences of its language and source or counts ``FEW`` at most (null is a group like any
     other). A null text has no words and fails. Repeated rows are judged alike;
     an empty table gives no rows; columns not named are not read.
     """
@@ -135,9 +150,10 @@ def judge(docs: DataFrame, keys: list[str], lang: str = "lang", source: str = "s
     measured = stored(measure(docs, columns, text), "measures")
     limits = stored(thresholds(measured, lang, source), "fences")
     joined = measured.join(limits, measured[lang].eqNullSafe(limits["_lang"]) & measured[source].eqNullSafe(limits["_source"]), "left")
-    inside = F.lit(True)
-    for name, value in shares().items():
-        inside = inside & F.coalesce((value <= F.col(f"{name}_highest")), F.lit(True)) & F.coalesce((value >= F.col(f"{name}_lowest")), F.lit(True))
+    of = values()
+    inside = F.coalesce(of["word_length"].between(F.col("word_length_lowest"), F.col("word_length_highest")), F.lit(True))
+    for name, (count, _) in SHARES.items():
+        inside = inside & F.coalesce((F.col(count) <= FEW) | (of[name] <= F.col(f"{name}_highest")), F.lit(True))
     return joined.select(
         *[measured[k].alias(k) for k in keys], "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"),

@@ -1,6 +1,7 @@
 """URL filter, secret scan, quality rules and the pipeline."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -108,7 +109,9 @@ def test_quality(odd, empty, llm_spark):
 
 
 def test_quality_thresholds_follow_the_group(llm_spark):
-    clean = [(i, lang, "s", " ".join(["word" if lang == "en" else "verylongword"] * 1 + [f"w{j}{i}" if lang == "en" else f"langeswort{j}{i}" for j in range(30)])) for i in range(150) for lang in ("en", "de")]
+    rng = random.Random(9)
+    length = {"en": (2, 6), "de": (8, 14)}  # words of a text, evenly long in each language
+    clean = [(i, lang, "s", " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(*length[lang]))) for _ in range(60))) for i in range(150) for lang in ("en", "de")]
     junk = [(1000 + i, "en", "s", " ".join(f"a{j}%%%" for j in range(40))) for i in range(5)]
     df = llm_spark.createDataFrame(clean + junk, "doc_id long, lang string, source string, text string")
     kept = {r["doc_id"] for r in quality.keep_good(df).collect()}
@@ -154,3 +157,71 @@ def test_stages_take_odd_and_empty_tables(odd, empty, llm_spark, position):
     assert stage(llm_spark, empty, "").columns == empty.columns
     assert stage(llm_spark, odd, "").columns == odd.columns
     stage(llm_spark, odd, "").collect()
+
+
+def brute_kept(rows):
+    """The verdicts from exact lists of values, by the rule as it is stated."""
+    measured = {}
+    for n, (_, lang, source, text) in enumerate(rows):
+        w, chars, symbols, dup, repeat = plain_measures(text)
+        n_lines = len([x for x in (text or "").split("\n") if words(x)])
+        values = {"n_words": w or None, "n_lines": n_lines or None, "word_length": 1000 * chars // w if w else None,
+                  "symbol_share": 1000 * symbols // w if w else None, "dup_line_share": 1000 * dup // n_lines if n_lines else None}
+        measured[n] = (lang, source, values, symbols, dup, w < 20 or 100 * repeat > 30 * w)
+
+    def cut(v):
+        return v - v % 10 ** max(len(str(v)) - 3, 0)
+
+    def quantile(of, share):
+        a, b = share
+        return next(v for i, v in enumerate(of, 1) if i * b >= len(of) * a)
+
+    def group(lang, source, name):
+        for same in (lambda m: m[:2] == (lang, source), lambda m: m[0] == lang, lambda m: True):
+            found = sorted(cut(m[2][name]) for m in measured.values() if same(m) and m[2][name] is not None)
+            if len(found) >= quality.LEAST_ROWS:
+                break
+        return {q: quantile(found, share) for q, share in quality.QUANTILES.items()}
+
+    known, out = {}, []
+    for lang, source, values, symbols, dup, failed in measured.values():
+        def q(name):
+            at = (lang, source, name)
+            known[at] = known.get(at) or group(*at)
+            return known[at]
+
+        keep = not failed
+        if keep:
+            length = q("word_length")
+            spread = max(min(length["high"] - length["middle"], length["middle"] - length["low"]), 10 ** max(len(str(length["middle"])) - 3, 0))
+            keep = abs(values["word_length"] - length["middle"]) <= quality.REACH * spread
+            for count, name, size in ((symbols, "symbol_share", "n_words"), (dup, "dup_line_share", "n_lines")):
+                most = q(name)["upper"] + 1000 * quality.SLACK // q(size)["middle"]
+                keep = keep and (count <= quality.FEW or values[name] <= most)
+        out.append(keep)
+    return out
+
+
+def test_quality_verdicts_equal_brute_force(llm_spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(900):
+        lang, source = rng.choice(["en", "de", None, "fr"]), rng.choice(["a", "a", "a", "b", None])
+        longer = 3 if lang == "de" else 0
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7) + longer)) for _ in range(rng.choice([5, 30, 60, 200]))]
+        kind = rng.random()
+        if kind < 0.15 or source == "b" and kind < 0.33:  # a third of one source is junk
+            w = [x + rng.choice(["%%%", "#", "$&"]) for x in w]
+        elif kind < 0.2:
+            w = [x * 6 for x in w]
+        elif kind < 0.3:
+            w = [*w, "&", "|"][: len(w) + rng.randint(1, 2)]
+        lines = [" ".join(w[j : j + 8]) for j in range(0, len(w), 8)]
+        if rng.random() < 0.2:
+            lines += rng.choices(lines, k=rng.randint(1, 6))
+        rows.append((i, lang, source, rng.choice([None, ""]) if i % 97 == 0 else "\n".join(lines)))
+    df = llm_spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").repartition(3)
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(df, ["doc_id"]).collect()}
+    want = brute_kept(rows)
+    assert [got[i] for i in range(900)] == want
+    assert 0.3 < sum(want) / len(want) < 0.95
