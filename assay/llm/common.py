@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
+import threading
+
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assay.functions.lineage import shared_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_WORKING = threading.local()
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write a working table to the session's shared checkpoint folder and read
     it back: later stages survive the loss of any executor."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
+    _WORKING.__dict__.setdefault("paths", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_working_tables(spark: SparkSession, but_for: DataFrame | None = None) -> None:
+    """Remove the working tables this thread has stored so far, but for those
+    that ``but_for`` still reads. Other results of them must have been written."""
+    paths, _WORKING.paths = _WORKING.__dict__.get("paths", []), []
+    read = {part for file in (but_for.inputFiles() if but_for is not None and paths else []) for part in file.split("/")}
+    for path in paths:
+        if path.rsplit("/", 1)[-1] in read:
+            _WORKING.paths.append(path)
+        else:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
