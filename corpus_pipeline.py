@@ -1,9 +1,11 @@
 """From raw documents to packed sequences: quality rules, line dedup, SimHash
 near-dedup, secret redaction, packing. Each stage works on all rows and columns
-that the one before it kept; its result is written and read back."""
+that the one before it kept; its result is written and read back, after which
+the next stage removes the working tables of the one before."""
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 
@@ -13,7 +15,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from assay.llm import lines, packing, quality, secrets, simhash  # noqa: E402
 from assay.llm.catalog import table, tokenizer_file  # noqa: E402
-from assay.llm.common import stored  # noqa: E402
+from assay.functions.lineage import shared_path  # noqa: E402
+from assay.llm.common import drop_working_tables  # noqa: E402
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -51,8 +54,21 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def _stage(work):
+    """A stage's input has been written by then, so that the working tables
+    behind it are no longer needed."""
+
+    @functools.wraps(work)
+    def start(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_working_tables(spark, docs)
+        return work(spark, docs, sf_dir)
+
+    return start
+
+
 STAGES = [
-    ("quality rules", quality_rules), ("line dedup", line_dedup), ("simhash near-dedup", near_dedup), ("secret scan", secret_redaction), ("packing", pack),
+    ("quality rules", _stage(quality_rules)), ("line dedup", _stage(line_dedup)), ("simhash near-dedup", _stage(near_dedup)),
+    ("secret scan", _stage(secret_redaction)), ("packing", _stage(pack)),
 ]
 #: Packing is not expressible in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -61,5 +77,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "stage")
+        result, path = stage(spark, docs, sf_dir), shared_path(spark, "stage")
+        result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+    drop_working_tables(spark)
     return docs
