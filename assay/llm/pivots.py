@@ -33,7 +33,7 @@ def _usable(vector) -> np.ndarray | None:
     if vector is None or any(x is None for x in vector):
         return None
     v = np.asarray(vector, np.float64)
-    return v if v.size and np.isfinite(v).all() and v.any() and np.isfinite(np.linalg.norm(v)) else None
+    return v if v.size and np.isfinite(v).all() and v.any() else None
 
 
 def _unit(v: np.ndarray) -> np.ndarray:

@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -43,10 +45,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def token_spans(text: str, taken: list[tuple[int, int, int, str]], least_bits: float) -> list[tuple[int, int, int, str]]:
-    """Long words of capitals and digits, and maybe more, at high entropy, apart from ``taken``."""
-    out = []
+    """Long words of capitals and digits, and maybe more, at high entropy, apart from ``taken`` (in order)."""
+    out, starts = [], [s[0] for s in taken]
+    # The furthest end of the spans up to each one: the word meets one of them if it lies beyond the word's start.
+    reach = list(accumulate((s[2] for s in taken), max))
     for m in _LONG_WORD.finditer(text):
-        if _MIXED.match(m[0]) and entropy(m[0]) >= least_bits and all(m.end() <= s[0] or s[2] <= m.start() for s in taken):
+        before = bisect_left(starts, m.end())
+        free = not before or reach[before - 1] <= m.start()
+        if free and _MIXED.match(m[0]) and entropy(m[0]) >= least_bits:
             out.append((m.start(), 3, m.end(), m[0]))
     return out
 

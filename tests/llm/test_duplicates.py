@@ -178,3 +178,10 @@ def test_short_lines_repeat_exactly(llm_spark):
     assert got == {1: ("Les.\n\nLes!\n漢字の行\n  ", 1), 2: ("\nkept\n  ", 2), 3: ("", 1), 4: (rows[3][1], 0), 5: ("", 2)}
     cleaned = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(llm_spark, df, "").collect()}
     assert cleaned == {1: got[1][0], 2: got[2][0], 4: got[4][0]}
+
+
+def test_vectors_whose_norm_overflows_link(llm_spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 1e-200], 0), (4, [1e308, -1e308], 0), (5, [5e-324, 5e-324], 0), (6, [float("inf"), 1.0], 0)]
+    df = llm_spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.near_duplicate_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}

@@ -253,3 +253,12 @@ def test_divergence_in_small_steps(llm_spark, monkeypatch):
 def test_divergence_of_odd_rows(odd, empty):
     assert sorted(map(tuple, divergence.divergence(odd, least_docs=1).collect())) == brute_divergence(ROWS, 1)
     assert divergence.divergence(empty).count() == 0
+
+
+def test_every_operator_is_registered():
+    """A broken import inside the subpackage would leave them out without a word."""
+    import __spark_entry__ as entry
+
+    names = set(entry.queries())
+    assert {n.split("_")[0] for n in names if re.match(r"op\d", n)} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
+    assert {"op2_embedding_dedup", "op6_line_dedup", "op7_quality_rules", "op11_conversation_repair", "op13_source_divergence"} <= set(entry.oracle_sql())
