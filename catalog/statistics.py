@@ -265,7 +265,25 @@ def _(t):
     return rounded(r, 4, "highest_mean", "lowest_mean")
 
 
-@query("d23_run_analyses")
+def _run_sql() -> str:
+    """All five analyses of orders; without ties the flagged rows are those below the 5 % place."""
+    numbers = ["o_orderkey", "o_custkey", "o_totalprice"]
+    outside = " + ".join(f"(({q.outliers('orders', c)}) > 0)::int" for c in numbers)
+    return f"""
+    with p as (select a, b, round(r, 3) as r from ({q.pairs('orders', numbers)}) order by abs(round(r, 3)) desc, pair limit 1),
+    n as (select count(*) as n, ceil(0.05 * (count(*) - 1))::bigint as low from orders),
+    t as (select regr_slope(o_totalprice, i) as slope from (select o_totalprice, row_number() over (order by o_orderdate, o_orderkey) as i from orders)),
+    s as (select count(*) as segments from (select o_orderstatus from orders group by 1 having count(*) >= 3))
+    select 'orders' as run_id, 0 as seq, 'correlation_analysis' as analysis_type,
+           'Closest pair: ' || {q.title('a')} || ' vs ' || {q.title('b')} || ' (r=' || r || ').' as summary, 3 as findings from p
+    union all select 'orders', 1, 'outlier_detection', 'The outlier trees set apart ' || low || ' rows (' || printf('%.1f', 100.0 * round(low / n, 4)) || '%).', 1 + {outside} from n
+    union all select 'orders', 2, 'distribution_analysis', 'Shapes of 3 numeric column(s) were described.', 3
+    union all select 'orders', 3, 'trend_decomposition', 'O Totalprice is ' || case when slope > 0 then 'increasing' when slope < 0 then 'decreasing' else 'flat' end || ' as time goes on.', 3 from t
+    union all select 'orders', 4, 'segment_comparison', 'Set side by side: O Totalprice across ' || segments || ' groups by O Orderstatus.', 2 from s
+    """
+
+
+@query("d23_run_analyses", _run_sql())
 def _(t):
     profile = column_profile(t.orders, "orders")
     plan = {"target_column": "o_totalprice", "analyses_to_run": list(ANALYSES)}
