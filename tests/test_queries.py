@@ -25,7 +25,7 @@ def test_every_comparison_belongs_to_a_query():
 
 def test_flagship_runs(spark):
     df = entry.entry(spark)
-    assert df.count() == 6 and "p_value" in df.columns
+    assert df.count() == 28 and "p_value" in df.columns
 
 
 def plan_of(df):
