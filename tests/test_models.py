@@ -375,3 +375,17 @@ def test_all_models_step_in_one_scan(spark):
     finally:
         clustering.lloyd_step = counted
     assert steps[0] == len(starts) and steps == sorted(steps, reverse=True)
+
+
+def test_equal_rows_are_one_point_with_their_number(spark):
+    """The number may be given or counted; a point that is alone in its cluster twice is not alone."""
+    rng = np.random.default_rng(21)
+    x, c, m = rng.normal(size=(90, 2)).round(1), rng.integers(0, 3, 90), rng.integers(1, 30, 90)
+    x, c, m = np.r_[x, [[9.0, 9.0]]], np.r_[c, 3], np.r_[m, 2]
+    want = plain_silhouette(np.repeat(x, m, axis=0), np.repeat(c, m))
+    points = spark.createDataFrame([(int(k), v.tolist(), int(n)) for k, v, n in zip(c, x, m)], "c int, x array<double>, m long")
+    each = points.select("c", "x", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    for rows in (points, each.select("c", "x")):
+        got = clustering.euclidean_silhouette(rows).first()
+        assert (got["n"], got["clusters"]) == (int(m.sum()), 4) and got["silhouette"] == pytest.approx(want, abs=6e-5)
+    assert [clustering.block_rows(p) for p in (100, 900_000, 10**9)] == [2048, 14063, 65536]
