@@ -389,3 +389,13 @@ def test_equal_rows_are_one_point_with_their_number(spark):
         got = clustering.euclidean_silhouette(rows).first()
         assert (got["n"], got["clusters"]) == (int(m.sum()), 4) and got["silhouette"] == pytest.approx(want, abs=6e-5)
     assert [clustering.block_rows(p) for p in (100, 900_000, 10**9)] == [2048, 14063, 65536]
+
+
+def test_a_step_counts_every_row_of_a_point(spark):
+    rng = np.random.default_rng(22)
+    x, m = rng.normal(size=(80, 2)).round(1), rng.integers(1, 40, 80)
+    models = [x[:3], x[5:9]]
+    points = spark.createDataFrame([(v.tolist(), int(n)) for v, n in zip(x, m)], "x array<double>, m long")
+    rows = points.select("x", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).select("x")
+    for a, b in zip(clustering.lloyd_step(points, models), clustering.lloyd_step(rows, models)):
+        assert np.allclose(a, b) and a[:, 0].sum() == m.sum()
