@@ -399,3 +399,42 @@ def test_a_step_counts_every_row_of_a_point(spark):
     rows = points.select("x", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).select("x")
     for a, b in zip(clustering.lloyd_step(points, models), clustering.lloyd_step(rows, models)):
         assert np.allclose(a, b) and a[:, 0].sum() == m.sum()
+
+
+def test_a_point_draws_as_often_as_its_rows():
+    rows, seed = np.arange(60_000, dtype=np.int64) * 7919, forest.tree_seeds(np.arange(1), 1)[0]
+    copies = np.resize([1, 4, 60, 2500], 60_000)
+    got = forest.bootstrap_weights(rows, seed, copies)
+    for m in (1, 4, 60, 2500):
+        mine = got[copies == m]
+        assert mine.mean() == pytest.approx(m, rel=0.03) and mine.var() == pytest.approx(m, rel=0.06)
+    assert (got[copies == 1] == forest.bootstrap_weights(rows, seed)[copies == 1]).all()
+
+
+def test_equal_rows_grow_one_leaf_and_jobs_their_own_tasks(spark):
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(50, 2))
+    train = prepared(spark, np.repeat(x, 40, axis=0), np.repeat(x[:, 0], 40))
+    model = forest.fit_forest(train, 12, 1)
+    assert sum(len(forest.Nodes.unpack(bytes(r["blob"])).feature) for r in model.parts.collect()) <= 12 * 99
+    assert np.allclose(*model.transform(train).select("_label", "prediction").toPandas().to_numpy().T, atol=1e-9)
+    assert model.parts.select("group").distinct().count() == 12 and len({r[0] for r in model.parts.select(F.input_file_name()).collect()}) > 1
+
+
+def test_a_forest_meets_the_blocks_in_bundles(spark, monkeypatch):
+    rng = np.random.default_rng(24)
+    pdf = pd.DataFrame({"id": np.arange(2500), "a": rng.normal(size=2500), "b": rng.normal(size=2500)})
+    pdf["_label"] = pdf["a"] * 2 + pdf["b"]
+    prep, df = features.Preparation({"a": (0.0, 0.0, 1.0), "b": (0.0, 0.0, 1.0)}, {}), spark.createDataFrame(pdf)
+    train = df.select(F.xxhash64("id").alias("_row"), "_label", prep.vector().alias("_features"))
+    for classes in (0, 2):
+        rows = df if not classes else df.withColumn("_label", (F.col("_label") > 0).cast("double"))
+        model = forest.fit_forest(train if not classes else train.withColumn("_label", (F.col("_label") > 0).cast("double")), 3, 1, classes)
+        metric = "f1" if classes else "r2"
+        monkeypatch.setattr(forest, "BROADCAST_BYTES", 128 << 20)
+        one = supervised.permuted_scores(rows, ["id"], prep, model, metric, 2, 1).toPandas().set_index(["feature", "repeat"])["score"]
+        monkeypatch.setattr(forest, "BROADCAST_BYTES", 0)
+        assert model.bundles() == 3
+        several = supervised.permuted_scores(rows, ["id"], prep, model, metric, 2, 1).toPandas().set_index(["feature", "repeat"])["score"]
+        assert len(one) == 5 and np.allclose(one.sort_index(), several.sort_index())
+        assert one.loc[("", 0)] > 0.95 and one.loc["a"].mean() < one.loc["b"].mean() < one.loc[("", 0)]
