@@ -438,3 +438,16 @@ def test_a_forest_meets_the_blocks_in_bundles(spark, monkeypatch):
         several = supervised.permuted_scores(rows, ["id"], prep, model, metric, 2, 1).toPandas().set_index(["feature", "repeat"])["score"]
         assert len(one) == 5 and np.allclose(one.sort_index(), several.sort_index())
         assert one.loc[("", 0)] > 0.95 and one.loc["a"].mean() < one.loc["b"].mean() < one.loc[("", 0)]
+
+
+def test_training_reads_its_table_a_few_times(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(v):
+        seen.add(1)
+        return float(v) * 3 + float(v) % 7
+
+    df = spark.range(200).select("id", (F.col("id") % 50).cast("double").alias("a"), watched("id").alias("y"))
+    assert supervised.train_regression(df, "y", ["a"], ["id"], Settings(forest_trees=2), importance=False).trained
+    assert seen.value <= 600
