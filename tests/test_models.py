@@ -240,6 +240,14 @@ def test_explanation_of_a_regression(regression):
     assert rows["vs_average"] == "below" and rows["value"] is None and float(rows["prediction"])
 
 
+def test_explained_rows_are_not_scored_for_their_means(spark, regression, monkeypatch):
+    ranked = spark.createDataFrame([(1, "a", 1.0, "increases")], "rank int, feature string, importance double, direction string")
+    fail = F.udf(lambda x: 1 / 0, "double")
+    monkeypatch.setattr(type(regression), "predict", lambda self, df: df.withColumn("prediction", fail(F.lit(1.0))).withColumn("a", F.col("a") + F.col("prediction") * 0))
+    out = explain.explain_rows(regression, ranked)  # nothing is scored before the result is read
+    assert out.columns[:2] == ["id", "rank"]
+
+
 def test_permuting_keeps_a_features_columns_together(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"id": np.arange(2500), "a": rng.normal(size=2500), "c": rng.choice(["u", "v", "w"], 2500)})
@@ -377,6 +385,15 @@ def test_all_models_step_in_one_scan(spark):
     assert steps[0] == len(starts) and steps == sorted(steps, reverse=True)
 
 
+def test_a_step_is_one_job(spark):
+    vectors = spark.createDataFrame([([float(i), 1.0],) for i in range(60)], "x array<double>").repartition(3).persist()
+    vectors.count()
+    spark.sparkContext.setJobGroup("one step", "")
+    clustering.lloyd_step(vectors, [np.array([[1.0, 1.0], [50.0, 1.0]])])
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one step")) == 1
+
+
 def test_equal_rows_are_one_point_with_their_number(spark):
     """The number may be given or counted; a point that is alone in its cluster twice is not alone."""
     rng = np.random.default_rng(21)
