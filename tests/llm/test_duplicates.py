@@ -185,3 +185,31 @@ def test_vectors_whose_norm_overflows_link(llm_spark):
     df = llm_spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.near_duplicate_vectors(df).collect()}
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}
+
+
+@pytest.mark.parametrize("hot, chunk", [(16, 256), (4, 5)])
+def test_many_near_lines_give_no_pairs(llm_spark, monkeypatch, hot, chunk):
+    rng = random.Random(12)
+    base = "a line that many documents have with a small edit or two of it"
+    made = []
+    for i in range(120):
+        line = list(base)
+        for _ in range(rng.randrange(5)):
+            at, c = rng.randrange(len(line)), rng.choice("abcdefgh")
+            line[at : at + rng.randrange(2)] = [c] * rng.randrange(1, 3) if rng.random() < 0.7 else []
+        made.append((i, "".join(line) if i % 7 else "".join(rng.choice("xyz") for _ in range(21)) + base[21:]))
+    counts, stored = {}, lines.stored
+
+    def counting(df, name, *by):
+        out = stored(df, name, *by)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lines, "stored", counting)
+    monkeypatch.setattr(lines, "HOT_ROWS", hot, raising=False)
+    monkeypatch.setattr(lines, "CHUNK", chunk, raising=False)
+    df = llm_spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(df).collect()}
+    want = {i: int(any(j < i and lines._plain_distance(b.encode(), a.encode()) <= 2 for j, b in made)) for i, a in made}
+    assert got == want and 30 < sum(want.values()) < 110
+    assert counts["pairs"] <= 8 * len(made)  # of 7 140
