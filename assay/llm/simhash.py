@@ -130,7 +130,10 @@ def keep_one(docs: DataFrame, row_id: str = "doc_id", text: str = "text", shingl
     # A row's number is written with it, so every later job sees the same one.
     marked = stored(marked.withColumn("_uid", F.monotonically_increasing_id()), "fingerprints")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_uid").alias("uid"))).alias("first")
-    lowest = marked.groupBy("fp").agg(first)
-    classes = lowest.join(fingerprint_components(marked, max_bits, blocks), "fp", "left").withColumn("group", F.coalesce("group", "fp"))
-    kept = stored(classes.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("_uid")), "kept")
-    return marked.join(kept, "_uid", "left_semi").select("_row.*")
+    lowest = marked.groupBy("fp").agg(first, F.count("*").alias("rows"))
+    classes = lowest.join(fingerprint_components(marked, max_bits, blocks), "fp", "left").where("rows > 1 or group is not null").withColumn("group", F.coalesce("group", "fp"))
+    kept = classes.groupBy("group").agg(F.min("first").alias("first")).select("group", F.col("first.uid").alias("keep"))
+    kept = stored(classes.select("fp", "group").join(kept, "group").select("fp", "keep"), "kept")
+    # What goes is little beside what stays: as long as it is small, no text moves.
+    gone = stored(marked.select("_uid", "fp").join(kept, "fp").where("_uid <> keep").select("_uid"), "gone")
+    return marked.join(gone, "_uid", "left_anti").select("_row.*")

@@ -213,3 +213,19 @@ def test_many_near_lines_give_no_pairs(llm_spark, monkeypatch, hot, chunk):
     want = {i: int(any(j < i and lines._plain_distance(b.encode(), a.encode()) <= 2 for j, b in made)) for i, a in made}
     assert got == want and 30 < sum(want.values()) < 110
     assert counts["pairs"] <= 8 * len(made)  # of 7 140
+
+
+def test_keeping_one_of_a_group_moves_no_texts(llm_spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(12))) for i in range(6000)]
+    rows += [(10_000 + i, t) for i, t in rows[:20]]
+    monkeypatch.setattr(simhash, "fingerprint_components", lambda marked, *a: llm_spark.createDataFrame([], "fp long, group long"))
+    before = llm_spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    llm_spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8000")
+    try:
+        kept = simhash.keep_one(llm_spark.createDataFrame(rows, "doc_id long, text string"))
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        ids = sorted(r["doc_id"] for r in kept.select("doc_id").collect())
+    finally:
+        llm_spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ids == list(range(6000)) and "SortMergeJoin" not in plan
