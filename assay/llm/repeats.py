@@ -1,4 +1,4 @@
-"""Removing repeated byte strings by suffix order, over any number of documents.
+"""Removing repeated byte strings, over any number of documents.
 
 Every string of ``length`` bytes belongs to the least hash of the ``GRAM``-byte
 strings in it, so equal strings have equal keys. Documents are put into portions
@@ -6,9 +6,11 @@ that are written once; a portion tells every key's bucket only four bytes, and
 learns which keys others have as well. Around those keys the portion cuts its
 texts into segments (neighbouring strings of one key), and sends each different
 segment once to the key's shard, with the smallest document it is in. A shard
-orders the suffixes of its segments on disk (``induced``); neighbours with a
-common prefix of ``length`` are one string, and a segment learns where a smaller
-document has the same. Portions then mark the bytes of their own documents.
+sorts the strings of some keys at a time by their hashes and compares those of
+one hash, or orders the suffixes of a large key's segments on disk
+(``induced``), where neighbours with a common prefix of ``length`` are one
+string; a segment learns where a smaller document has the same. Portions then
+mark the bytes of their own documents.
 
 No step needs a hot string's documents together: a portion speaks once for all
 of its documents, however often a string is in them.
@@ -258,13 +260,93 @@ def _group_lows(order: Tape, starts: np.ndarray, least: np.ndarray, length: int,
     return out
 
 
+def _whole_keys(keys: np.ndarray, sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Neighbouring segments of whole keys, of ``limit`` bytes at most unless it is one key."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    ends, upto = np.r_[starts[1:], len(keys)], np.cumsum(sizes)
+    at, before = 0, 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(upto[ends - 1], before + limit, side="right")))
+        yield slice(int(starts[at]), int(ends[to - 1]))
+        before, at = int(upto[ends[to - 1] - 1]), to
+
+
+def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the string of ``length`` bytes that starts at each place."""
+    h = (data.astype(np.uint64) + _ODD[2]) * _ODD[0]
+    step = 1
+    while 2 * step <= length:
+        h = h[:-step] * _ODD[1] + h[step:] * _ODD[3]
+        h ^= h >> np.uint64(31)
+        step *= 2
+    if step < length:  # two overlapping halves cover the string
+        h = h[: step - length] * _ODD[1] + h[length - step :] * _ODD[3]
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def _runs_of(hit: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``segment, begin, length`` of neighbouring places of one segment."""
+    if len(hit):
+        segment = np.searchsorted(starts, hit, side="right") - 1
+        first = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (segment[1:] != segment[:-1])])
+        yield from zip(segment[first].tolist(), (hit[first] - starts[segment[first]]).tolist(), np.diff(np.r_[first, len(hit)]).tolist())
+
+
+def _equal_strings(texts: list[bytes], least: np.ndarray, length: int) -> list | None:
+    """Runs of strings that a smaller document has, by sorting hashes. Strings
+    of one hash are compared byte by byte: if two differ, there is no result."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    strings = sizes - length + 1
+    segment = np.repeat(np.arange(len(texts)), strings)
+    place = np.arange(len(segment)) - np.repeat(np.cumsum(strings) - strings, strings) + starts[segment]
+    h = string_hashes(data, length)[place]
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    new = np.r_[True, h[1:] != h[:-1]]
+    del h
+    a, b = place[order[:-1]][~new[1:]], place[order[1:]][~new[1:]]
+    width = min(8, 1 << (length.bit_length() - 1))
+    words = np.ndarray((len(data) - width + 1,), f"<u{width}", data, 0, (1,))  # the bytes from each place on
+    for at in [*range(0, length - width, width), length - width]:
+        if (words[a + at] != words[b + at]).any():
+            return None
+    first = np.flatnonzero(new)
+    lows = np.repeat(np.minimum.reduceat(least[segment[order]], first), np.diff(np.r_[first, len(order)]))
+    hit = np.sort(place[order[lows < least[segment[order]]]])
+    return list(_runs_of(hit, starts))
+
+
+def _ordered_strings(texts: list[bytes], low: np.ndarray, length: int, limit: int) -> Iterator[tuple[int, int, int]]:
+    """The same by suffix order in scratch files, for keys of any size."""
+    sizes = np.array([len(t) for t in texts])
+    starts = scratch_array(len(texts) + 1, np.int64)
+    starts[:-1], n = np.cumsum(sizes + 1) - sizes - 1, int(sizes.sum()) + len(texts) + 1
+    starts[-1], least = n - 1, np.r_[low, NO_ID]
+    # Symbols: 0 the end, 1 between segments, 2 and more the bytes of the text, none of which is above 253
+    # (255 between the texts becomes 1).
+    text = scratch_array(n + length, np.uint8)
+    for a in range(0, len(texts), 1 << 14):
+        joined = np.frombuffer(b"\xff".join(texts[a : a + (1 << 14)]) + b"\xff", np.uint8) + np.uint8(2)
+        text[starts[a] : starts[a] + len(joined)] = joined
+    text[n - 1] = 0
+    lows = _group_lows(sort_suffixes(text, n, limit, length), starts, least, length, n)
+    for a in range(0, n - 1, BLOCK):
+        at = np.arange(a, min(a + BLOCK, n - 1))
+        segment = np.searchsorted(starts, at, side="right") - 1
+        yield from _runs_of(at[(starts[segment + 1] - 1 - at >= length) & (lows[at] < least[segment])], starts)
+
+
 def _order_shard(length: int, limit: int):
     """Tells the portions of a shard which strings of their segments a smaller
     document has.
 
     Equal segments count once, with the smallest document of all. Only strings
-    of one key can be equal, so the suffixes of a segment are ordered where its
-    key has other segments too.
+    of one key can be equal, so strings are compared where a key has several
+    segments, some keys at a time: by their hashes, or by suffix order where a
+    key has more than ``limit`` bytes or a hash has two strings.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -282,30 +364,14 @@ def _order_shard(length: int, limit: int):
         del known
         _, of_key, several = np.unique(_first_keys(texts, length), return_inverse=True, return_counts=True)
         mixed = np.flatnonzero(several[of_key] > 1)
+        mixed = mixed[np.argsort(of_key[mixed], kind="stable")]
         runs: dict[int, list[tuple[int, int]]] = {}
-        if len(mixed):
-            sizes = np.array([len(texts[i]) for i in mixed])
-            starts = scratch_array(len(mixed) + 1, np.int64)
-            starts[:-1], n = np.cumsum(sizes + 1) - sizes - 1, int(sizes.sum()) + len(mixed) + 1
-            starts[-1], least = n - 1, np.r_[low[mixed], NO_ID]
-            # Symbols: 0 the end, 1 between segments, 2 and more the bytes of the text, none of which is above 253
-            # (255 between the texts becomes 1).
-            text = scratch_array(n + length, np.uint8)
-            for a in range(0, len(mixed), 1 << 14):
-                part = mixed[a : a + (1 << 14)]
-                joined = np.frombuffer(b"\xff".join(texts[i] for i in part) + b"\xff", np.uint8) + np.uint8(2)
-                text[starts[a] : starts[a] + len(joined)] = joined
-            text[n - 1] = 0
-            lows = _group_lows(sort_suffixes(text, n, limit, length), starts, least, length, n)
-            for a in range(0, n - 1, BLOCK):
-                at = np.arange(a, min(a + BLOCK, n - 1))
-                segment = np.searchsorted(starts, at, side="right") - 1
-                hit = at[(starts[segment + 1] - 1 - at >= length) & (lows[at] < least[segment])]
-                if len(hit):
-                    first = np.flatnonzero(np.r_[True, hit[1:] != hit[:-1] + 1])
-                    for begin, long in zip(hit[first].tolist(), np.diff(np.r_[first, len(hit)]).tolist()):
-                        i = int(np.searchsorted(starts, begin, side="right")) - 1
-                        runs.setdefault(int(mixed[i]), []).append((begin - int(starts[i]), long))
+        for part in _whole_keys(of_key[mixed], np.array([len(texts[i]) for i in mixed], np.int64), limit):
+            some = mixed[part]
+            size = sum(len(texts[i]) for i in some)
+            found = _equal_strings([texts[i] for i in some], low[some], length) if size <= limit else None
+            for i, begin, long in _ordered_strings([texts[i] for i in some], low[some], length, limit) if found is None else found:
+                runs.setdefault(int(some[i]), []).append((begin, long))
 
         out = []
         for (portion, shard, k, _, _), text_of, own in zip(sent, which, least_of):

@@ -262,3 +262,25 @@ def test_every_operator_is_registered():
     names = set(entry.queries())
     assert {n.split("_")[0] for n in names if re.match(r"op\d", n)} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert {"op2_embedding_dedup", "op6_line_dedup", "op7_quality_rules", "op11_conversation_repair", "op13_source_divergence"} <= set(entry.oracle_sql())
+
+
+def test_strings_of_a_shard_by_hashes_and_by_order(monkeypatch):
+    rng = random.Random(21)
+    for length in (2, 3, 8, 50, 120):
+        texts = list({bytes(rng.choice(b"ab") for _ in range(length + rng.randrange(9))) + bytes(rng.choice(b"abc") for _ in range(3)) for _ in range(40)})
+        texts += [t[: length + 2] for t in texts if len(t) > length + 2]
+        least = np.array([rng.randrange(30) for _ in texts])
+        low = {}
+        for t, d in zip(texts, least):
+            for i in range(len(t) - length + 1):
+                low[t[i : i + length]] = min(low.get(t[i : i + length], 99), d)
+        want = {(k, i) for k, t in enumerate(texts) for i in range(len(t) - length + 1) if low[t[i : i + length]] < least[k]}
+        spread = lambda runs: {(k, at) for k, begin, long in runs for at in range(begin, begin + long)}
+        assert want and spread(repeats._equal_strings(texts, least, length)) == want
+        assert spread(repeats._ordered_strings(texts, least, length, 1 << 20)) == want
+        with monkeypatch.context() as m:  # strings that differ never count as one
+            m.setattr(repeats, "string_hashes", lambda data, length: np.zeros(len(data) - length + 1, np.uint64))
+            assert repeats._equal_strings(texts, least, length) is None
+    keys, sizes = np.array([1, 1, 2, 3, 3, 3, 4]), np.array([4, 4, 3, 9, 9, 9, 1])
+    assert [(p.start, p.stop) for p in repeats._whole_keys(keys, sizes, 11)] == [(0, 3), (3, 6), (6, 7)]
+    assert list(repeats._whole_keys(keys[:0], sizes[:0], 11)) == []
