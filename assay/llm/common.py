@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assay.functions.lineage import shared_path
@@ -46,11 +47,21 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def arrow_stage(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """Apply ``step`` to every Arrow batch of the frame."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose ``column`` holds about ``most`` bytes, or one row that holds more."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.diff((np.cumsum(sizes, dtype=np.int64) - sizes) // most, prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
+def arrow_stage(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str | None = None, most: int = 0) -> DataFrame:
+    """Apply ``step`` to every Arrow batch of the frame, or to parts whose
+    ``column`` holds about ``most`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, column, most) if column else batches:
             if batch.num_rows:
                 out = step(batch)
                 if out is not None and out.num_rows:

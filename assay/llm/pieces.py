@@ -12,27 +12,32 @@ pieces lie before it), after which each chunk finds its own pieces alone.
 
 Where two neighbouring characters occur together in no piece, a piece must end
 there whatever came before. Chunks use those places to keep matrices small, and
-words between them are remembered.
+the words between them are searched side by side (``wordsearch.py``), some
+texts at a time and with nothing remembered.
 """
 
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from assay.llm.common import arrow_stage, stored, texts_of
+from assay.llm.common import arrow_stage, slices, stored, texts_of
+from assay.llm.wordsearch import WordSearch
 
 SPACE = "▁"
 NOWHERE = float("-inf")
-#: Words and pairs that a task remembers.
-KNOWN = 500_000
+#: Pairs that a task remembers.
+KNOWN = 50_000
+#: Bytes of text, or of ids, that a task works on at a time.
+AT_ONCE = 1 << 20
 State = tuple[int, str]
 START: State = (0, "")
 
@@ -42,25 +47,24 @@ class PieceModel:
 
     def __init__(self, path: str):
         library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces = [library.id_to_piece(i) for i in range(library.get_piece_size())]
-        ids = range(len(self.pieces))
-        self.byte_id = {int(self.pieces[i][3:5], 16): i for i in ids if library.is_byte(i)}
-        plain = [i for i in ids if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i))]
-        self.id_of = {self.pieces[i]: i for i in plain}
+        self.byte_id, self.id_of = bytes_and_pieces(library)
         self.unknown = library.unk_id()
-        self.score = {self.pieces[i]: library.get_score(i) for i in plain}
+        self.score = {p: library.get_score(i) for p, i in self.id_of.items()}
         place = {score: n for n, score in enumerate(sorted({s for p, s in self.score.items() if len(p) > 1}, reverse=True))}
         #: Order in which pieces come to be; single characters are there from the start.
         self.rank = {p: (place[s] if len(p) > 1 else -1) for p, s in self.score.items()}
         self.longest = max(map(len, self.id_of), default=1)
         self.beginnings = {p[:n] for p in self.id_of for n in range(1, len(p) + 1)}
         self.inside = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
-        self.surface = {i: p.replace(SPACE, " ").encode() for p, i in self.id_of.items()} | {i: bytes([b]) for b, i in self.byte_id.items()}
+        self.surface = surface_of(self.byte_id, self.id_of)
         #: May a text be cut in front of every run of spaces?
         self.space_cuts = not any(p[1] == SPACE and p[0] != SPACE for p in self.inside)
         self._halves: dict[str, tuple[str, str]] = {}
         self._beside: dict[tuple[str, str], bool] = {}
-        self._words: dict[str, bytes] = {}
+
+    @cached_property
+    def words(self) -> WordSearch:
+        return WordSearch(self)
 
     # -- pieces side by side
 
@@ -189,38 +193,13 @@ class PieceModel:
                 before = out[-1] if out else ""
         return out
 
-    def word(self, word: str) -> bytes:
-        """Ids (little-endian 32 bits) of what lies between two safe places."""
-        found = self._words.get(word)
-        if found is None:
-            if len(self._words) >= KNOWN:
-                self._words.clear()
-            found = np.array(self.ids(self.search(word)), "<u4").tobytes()
-            self._words[word] = found
-        return found
-
-    def words_of(self, x: str) -> list[str]:
-        """The text cut at safe places: spaces first, then whatever the pairs allow."""
-        parts = x.split(SPACE)
-        out = [parts[0]] if parts[0] else []
-        run = ""
-        for part in parts[1:]:
-            if part:
-                out.append(run + SPACE + part)
-                run = ""
-            else:
-                run += SPACE
-        if run:
-            out.append(run)
-        return out
+    def encode_all(self, texts: list[str]) -> pa.BinaryArray:
+        """Ids of normalised texts between safe borders."""
+        return self.words.encode(texts)
 
     def encode_whole(self, x: str) -> bytes:
         """Ids of a normalised text between safe borders."""
-        if not x:
-            return b""
-        if self.space_cuts:
-            return b"".join(map(self.word, self.words_of(x)))
-        return np.array(self.ids(self.path(x, 0, len(x), "")), "<u4").tobytes()
+        return self.encode_all([x])[0].as_py()
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.surface.__getitem__, ids.tolist()))
@@ -239,9 +218,10 @@ class PieceModel:
                     out.append((start + len(piece) - begin, piece))
         return sorted(set(out))
 
-    def transfer(self, x: str, begin: int, end: int, entries: list[State]) -> tuple[list[State], np.ndarray]:
+    def transfer(self, x: str, begin: int, end: int, entries: list[State], middle: int | None = None) -> tuple[list[State], np.ndarray]:
         """Exit states and the max-plus matrix from ``entries``: minus the number
-        of ids that start in ``[begin, end)``, or minus infinity."""
+        of ids that start in ``[begin, end)``, or minus infinity. ``middle``, if
+        known, is the number of ids between the safe places."""
         nodes: dict[int, dict[str, np.ndarray]] = {}
         for n, (past, piece) in enumerate(entries):
             vector = np.full(len(entries), NOWHERE)
@@ -249,11 +229,12 @@ class PieceModel:
             nodes.setdefault(begin + past, {})[piece] = vector
         first, last = self.safe_places(x, begin, end)
         if first < last:
-            # All states agree from a safe place on: words up to the last one are remembered.
+            # All states agree from a safe place on.
             self._advance(x, nodes, begin, first)
             reached = np.maximum.reduce(list(nodes.pop(first).values()))
-            between = sum(len(self.word(w)) // 4 for w in self.words_of(x[first:last]))
-            nodes, begin = {last: {"": reached - between}}, last
+            if middle is None:
+                middle = len(self.encode_whole(x[first:last])) // 4
+            nodes, begin = {last: {"": reached - middle}}, last
         self._advance(x, nodes, begin, end)
         exits = sorted((p - end, piece) for p, row in nodes.items() for piece in row)
         matrix = np.array([nodes[end + past][piece] for past, piece in exits]).reshape(len(exits), len(entries)).T
@@ -285,8 +266,14 @@ class PieceModel:
                     if into is not None:
                         nodes.setdefault(at + len(piece), {})[piece] = into - (1.0 if piece in self.id_of else len(piece.encode("utf-8", "replace")))
 
-    def between(self, x: str, begin: int, end: int, entry: State, leave: State) -> list[int]:
-        """Ids of the pieces that start in ``[begin, end)``, given both border states."""
+    def middle(self, x: str, begin: int, end: int) -> str:
+        """The text between the first and the last safe place, empty if there is none."""
+        first, last = self.safe_places(x, begin, end)
+        return x[first:last] if first < last else ""
+
+    def between(self, x: str, begin: int, end: int, entry: State, leave: State, middle: bytes | None = None) -> list[int]:
+        """Ids of the pieces that start in ``[begin, end)``, given both border
+        states and, if known, the ids of the ``middle`` after the entry."""
         a, b = begin + entry[0], end + leave[0]
         if a >= b:
             return []
@@ -294,8 +281,22 @@ class PieceModel:
         if first >= last:
             return self.ids(self.path(x, a, b, entry[1], leave[1]))
         head = self.ids(self.path(x, a, first, entry[1])) if first > a else []
-        middle = np.frombuffer(b"".join(map(self.word, self.words_of(x[first:last]))), "<u4").tolist()
-        return head + middle + self.ids(self.path(x, last, b, "", leave[1]))
+        if middle is None:
+            middle = self.encode_whole(x[first:last])
+        return head + np.frombuffer(middle, "<u4").tolist() + self.ids(self.path(x, last, b, "", leave[1]))
+
+
+def bytes_and_pieces(library: sentencepiece.SentencePieceProcessor) -> tuple[dict[int, int], dict[str, int]]:
+    """Ids of the single bytes and of the plain pieces."""
+    ids = range(library.get_piece_size())
+    of_bytes = {int(library.id_to_piece(i)[3:5], 16): i for i in ids if library.is_byte(i)}
+    plain = [i for i in ids if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i))]
+    return of_bytes, {library.id_to_piece(i): i for i in plain}
+
+
+def surface_of(of_bytes: dict[int, int], of_pieces: dict[str, int]) -> dict[int, bytes]:
+    """What each id stands for in a text."""
+    return {i: p.replace(SPACE, " ").encode() for p, i in of_pieces.items()} | {i: bytes([b]) for b, i in of_bytes.items()}
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -338,6 +339,26 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+@lru_cache(maxsize=1)
+def surfaces(path: str) -> pa.BinaryArray:
+    """What each id of a model file stands for, null for none; less to keep than the model."""
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    found = surface_of(*bytes_and_pieces(library))
+    return pa.array([found.get(i) for i in range(library.get_piece_size())], pa.binary())
+
+
+def decode_all(ids: list[bytes], path: str) -> list[str]:
+    """The texts of rows of ids."""
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    found = surfaces(path).take(pa.array(flat))
+    if found.null_count:
+        raise ValueError("an id that stands for nothing")
+    data, ends = found.buffers()[2], np.frombuffer(found.buffers()[1], np.int32)
+    bounds = ends[np.concatenate([[0], np.cumsum([len(b) // 4 for b in ids], dtype=np.int64)])].tolist() if len(flat) else [0] * (len(ids) + 1)
+    texts = [data[a:b].to_pybytes() if b > a else b"" for a, b in zip(bounds, bounds[1:])]
+    return [(t[1:] if t[:1] == b" " else t).decode("utf-8", "replace") for t in texts]
+
+
 _CHUNK = "uid long, n long, whole boolean, x string, begin int, stop int"
 
 
@@ -362,14 +383,14 @@ def encode(docs: DataFrame, model_file: str, row_id: str = "doc_id", text: str =
     giant = F.char_length("_text") > chunk_chars
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = model(model_file)
-        return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([m.encode_whole(normalise(t)) for t in texts_of(batch.column("_text"))], pa.binary())], ["_id", "ids"])
+        return pa.RecordBatch.from_arrays([batch.column("_id"), model(model_file).encode_all([normalise(t) for t in texts_of(batch.column("_text"))])], ["_id", "ids"])
 
-    short = arrow_stage(rows.where(~giant), f"_id {id_type}, ids binary", whole)
+    short = arrow_stage(rows.where(~giant), f"_id {id_type}, ids binary", whole, "_text", AT_ONCE)
+    side = max(map(len, bytes_and_pieces(sentencepiece.SentencePieceProcessor(model_file=model_file))[1]), default=1)
 
     def cut(batches):
-        base, seen, side = TaskContext.get().partitionId() << 40, 0, model(model_file).longest
-        for batch in batches:
+        base, seen = TaskContext.get().partitionId() << 40, 0
+        for batch in slices(batches, "_text", AT_ONCE):
             for name, t in zip(batch.column("_id").to_pylist(), texts_of(batch.column("_text"))):
                 x = normalise(t)
                 starts = range(0, len(x), chunk_chars)
@@ -387,9 +408,11 @@ def encode(docs: DataFrame, model_file: str, row_id: str = "doc_id", text: str =
 
     def matrices(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, out = model(model_file), []
-        for n, x, begin, stop in zip(*[batch.column(c).to_pylist() for c in ("n", "x", "begin", "stop")]):
+        chunk = list(zip(*[batch.column(c).to_pylist() for c in ("n", "x", "begin", "stop")]))
+        counts = pc.binary_length(m.encode_all([m.middle(x, begin, stop) for _, x, begin, stop in chunk])).to_pylist()
+        for (n, x, begin, stop), size in zip(chunk, counts):
             entries = m.entries(x, begin) if n else [START]
-            exits, matrix = m.transfer(x, begin, stop, entries)
+            exits, matrix = m.transfer(x, begin, stop, entries, size // 4)
             out.append((_pack_states(entries), _pack_states(exits), matrix.ravel().tolist()))
         strings = pa.list_(pa.string())
         return pa.RecordBatch.from_arrays(
@@ -397,7 +420,7 @@ def encode(docs: DataFrame, model_file: str, row_id: str = "doc_id", text: str =
             ["uid", "n", "entries", "exits", "matrix"],
         )
 
-    borders = arrow_stage(chunks.select("uid", "n", "x", "begin", "stop"), "uid long, n long, entries array<string>, exits array<string>, matrix array<double>", matrices)
+    borders = arrow_stage(chunks.select("uid", "n", "x", "begin", "stop"), "uid long, n long, entries array<string>, exits array<string>, matrix array<double>", matrices, "x", AT_ONCE)
 
     def fix(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n")
@@ -412,12 +435,14 @@ def encode(docs: DataFrame, model_file: str, row_id: str = "doc_id", text: str =
 
     def back(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, out = model(model_file), []
-        for x, begin, stop, entry, leave in zip(*[batch.column(c).to_pylist() for c in ("x", "begin", "stop", "entry", "leave")]):
-            (entry,), (leave,) = _unpack_states([entry]), _unpack_states([leave])
-            out.append(np.array(m.between(x, begin, stop, entry, leave), "<u4").tobytes())
+        x, begin, stop = (batch.column(c).to_pylist() for c in ("x", "begin", "stop"))
+        entry, leave = (_unpack_states(batch.column(c).to_pylist()) for c in ("entry", "leave"))
+        middles = m.encode_all([m.middle(t, b + e[0], s) for t, b, s, e in zip(x, begin, stop, entry)]).to_pylist()
+        for row in zip(x, begin, stop, entry, leave, middles):
+            out.append(np.array(m.between(*row), "<u4").tobytes())
         return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("uid"), batch.column("n"), pa.array(out, pa.binary())], ["_id", "uid", "n", "part"])
 
-    traced = arrow_stage(chunks.join(fixed, ["uid", "n"]), f"_id {id_type}, uid long, n long, part binary", back_columns(back))
+    traced = arrow_stage(chunks.join(fixed, ["uid", "n"]), f"_id {id_type}, uid long, n long, part binary", back_columns(back), "x", AT_ONCE)
     long = traced.groupBy("uid").agg(F.first("_id").alias("_id"), F.array_sort(F.collect_list(F.struct("n", "part"))).alias("parts")).select(
         "_id", F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["part"])).alias("ids")
     )
@@ -436,10 +461,9 @@ def decode(encoded: DataFrame, model_file: str, row_id: str = "doc_id", ids: str
     id_type = encoded.schema[row_id].dataType.simpleString()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = model(model_file)
-        return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([m.decode(np.frombuffer(b, "<u4")) for b in batch.column("_ids").to_pylist()])], ["_id", "text"])
+        return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(decode_all(batch.column("_ids").to_pylist(), model_file))], ["_id", "text"])
 
-    return arrow_stage(rows, f"_id {id_type}, text string", step).withColumnRenamed("_id", row_id)
+    return arrow_stage(rows, f"_id {id_type}, text string", step, "_ids", AT_ONCE).withColumnRenamed("_id", row_id)
 
 
 def with_digest(encoded: DataFrame, model_file: str, row_id: str = "doc_id") -> DataFrame:
@@ -448,10 +472,10 @@ def with_digest(encoded: DataFrame, model_file: str, row_id: str = "doc_id") ->
     id_type = encoded.schema[row_id].dataType.simpleString()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, data = model(model_file), batch.column("ids").to_pylist()
-        texts = [m.decode(np.frombuffer(b, "<u4")).encode() for b in data]
+        data = batch.column("ids").to_pylist()
+        texts = [t.encode() for t in decode_all(data, model_file)]
         columns = [batch.column("_id"), pa.array([len(b) // 4 for b in data], pa.int64()), pa.array([zlib.crc32(b) for b in data], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["_id", "n_pieces", "ids_crc32", "decoded_crc32"])
 
     rows = encoded.select(F.col(row_id).alias("_id"), "ids")
-    return arrow_stage(rows, f"_id {id_type}, n_pieces long, ids_crc32 long, decoded_crc32 long", step).withColumnRenamed("_id", row_id)
+    return arrow_stage(rows, f"_id {id_type}, n_pieces long, ids_crc32 long, decoded_crc32 long", step, "ids", AT_ONCE).withColumnRenamed("_id", row_id)

@@ -2,16 +2,19 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from assay.llm import lm, packing, pieces, tokens
 from assay.llm.catalog import tokenizer_file
+from assay.llm.common import slices
 from assay.llm.eliasfano import EliasFano
 from tests.llm.conftest import ROWS, words
 
@@ -54,6 +57,40 @@ def test_chunks_meet_at_their_borders(model):
         assert ids == np.frombuffer(model.encode_whole(x), "<u4").tolist()
 
 
+def test_encoding_keeps_no_words(model):
+    rng = random.Random(4)
+    model.encode_whole(pieces.normalise("a first text"))
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for _ in range(20):
+            model.encode_whole(pieces.normalise(" ".join("".join(rng.choice("abcdethino") for _ in range(8)) for _ in range(2000))))
+        model.encode_whole(pieces.normalise(" ".join("".join(rng.choice("abcdethino") for _ in range(2000)) for _ in range(20))))
+        assert tracemalloc.get_traced_memory()[0] - before < 6_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_many_texts_at_once_equal_the_library(model):
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    texts = ["", "", " ", "a" * 70, "ab" * 40, " " * 90, "漢" * 65, "x\U0001f642", "\ue000\ue001\n\x00", "  end  "]
+    texts += [noise(rng, rng.randint(0, 60)) if k % 2 else "".join(rng.choice("abcdethino ,") for _ in range(rng.randint(0, 90))) for k in range(600)]
+    ids = model.encode_all([pieces.normalise(t) for t in texts]).to_pylist()
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids] == library.encode(texts)
+    assert model.encode_all([]).to_pylist() == [] and model.encode_all(["", ""]).to_pylist() == [b"", b""]
+    assert pieces.decode_all(ids, tokenizer_file("piece_bpe_32k.model")) == [t.replace("▁", " ") for t in texts]
+    with pytest.raises(ValueError):
+        pieces.decode_all([np.array([library.unk_id()], "<u4").tobytes()], tokenizer_file("piece_bpe_32k.model"))
+
+
+def test_slices_hold_every_row_once():
+    batch = pa.RecordBatch.from_pydict({"k": list(range(7)), "t": ["", "a" * 5, None, "b" * 40, "", "é", "c" * 3]})
+    parts = list(slices([batch.slice(0, 0), batch.slice(1)], "t", 6))
+    assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(1, 7))
+    assert [p.column("k").to_pylist() for p in parts] == [[1, 2, 3], [4, 5, 6]]
+
+
 def test_max_plus_product_is_associative():
     r = np.random.default_rng(0)
     a, b, c = (np.where(r.random(s) < 0.4, -np.inf, -r.integers(0, 9, s).astype(float)) for s in ((3, 4), (4, 5), (5, 2)))
