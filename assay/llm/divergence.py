@@ -7,90 +7,144 @@ split by the string itself. Text comes back only for the rows that are kept.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assay.llm.common import LOWER, UPPER, stored
+from assay.llm.common import LOWER, UPPER, slices, stored
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed value: the scale of the integer probabilities.
 SCALE = 1_000_000_000
-#: Distinct terms of a group that a task gathers before it passes them on.
-TERMS_AT_ONCE = 500_000
+#: Counts below it give a long when they are scaled.
+LONG_COUNTS = (1 << 63) // SCALE - 1
+#: Terms of groups that a task gathers before it adds them up, and passes them on if half are left.
+TERMS_AT_ONCE = 1_000_000
+#: Bytes of text whose terms are counted at a time.
+TEXT_AT_ONCE = 1 << 22
+#: Rows that a task passes on at a time.
+ROWS_AT_ONCE = 100_000
 #: Sources that are compared with all others at a time.
 SOURCES_AT_ONCE = 64
 #: Cells of a dense term-by-source table in one task.
 CELLS_AT_ONCE = 1 << 20
 
-# The same terms as bytes of UTF-8, once A-Z are lower case.
-_BYTES = rb"[a-z\x80-\xFF]+"
-_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+# ASCII bytes of no term, and all bytes with A-Z in lower case and 0 for those: the same terms as bytes of UTF-8.
+_OTHERS = bytes(b for b in range(128) if not chr(b).isalpha())
+_FOLD = bytes.maketrans(UPPER.encode() + _OTHERS, LOWER.encode() + bytes(len(_OTHERS)))
 _PARTS = "lang string, source string, term string, fresh boolean, n long, docs long"
 _SCHEMA = "lang string, source string, part string, item string, value long, rank int"
 
 
+def _terms_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of some texts in their order as binary, and the number of each one's text."""
+    text = text.cast(pa.large_string())
+    edges = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    raw = bytes(memoryview(text.buffers()[2])[edges[0] : edges[-1]]) if edges[-1] > edges[0] else b""
+    edges, folded = edges - edges[0], raw.translate(_FOLD)
+    inside = np.frombuffer(folded, np.uint8) != 0
+    apart = np.zeros(len(folded) + 1, bool)  # between the byte before and this one
+    apart[edges] = True
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1] | apart[1:-1]
+    closes[:-1] &= ~inside[1:] | apart[1:-1]
+    starts = np.flatnonzero(opens)
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(np.flatnonzero(closes) + 1 - starts, out=offsets[1:])
+    terms = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(folded.translate(None, b"\0"))])
+    return terms, np.repeat(np.arange(len(text)), np.diff(np.searchsorted(starts, edges)))
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in their order and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _counted(batch: pa.RecordBatch) -> pa.Table:
+    """``lang, source, term, n, docs`` of a batch; a row without a term for every group."""
+    words, doc = _terms_of(batch.column("text"))
+    words, lang, source = (x.dictionary_encode() for x in (words, batch.column("lang"), batch.column("source")))
+    groups, of = np.unique(lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(), return_inverse=True)
+    code, width = words.indices.to_numpy(), max(1, len(words.dictionary))
+    keys, n = _runs(of[doc] * width + code)
+    once = _runs(doc * width + code)[0]
+    docs = _runs(of[once // width] * width + once % width)[1]
+    group, none = np.concatenate([keys // width, np.arange(len(groups))]), np.zeros(len(groups), np.int64)
+    term = pa.array(np.concatenate([keys % width, none]), mask=np.arange(len(group)) >= len(keys))
+    return pa.table({
+        "lang": lang.dictionary.take(pa.array(groups[group] // len(source.dictionary))), "source": source.dictionary.take(pa.array(groups[group] % len(source.dictionary))),
+        "term": words.dictionary.take(term), "n": np.concatenate([n, none]), "docs": np.concatenate([docs, none]),
+    })
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    if len(tables) == 1:
+        return tables[0]
+    added = pa.concat_tables(tables).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    return added.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
+
+
+def _marked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The table as batches, ``fresh`` in the first row of every term."""
+    words = table.column("term").combine_chunks().dictionary_encode()
+    code = words.indices.fill_null(len(words.dictionary)).to_numpy()
+    first = np.zeros(len(words.dictionary) + 1, np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    fresh = np.zeros(len(code), bool)
+    fresh[first[:-1]] = True
+    out = table.set_column(2, "term", table.column("term").cast(pa.string())).add_column(3, "fresh", pa.array(fresh))
+    yield from out.to_batches(ROWS_AT_ONCE)
+
+
 def term_parts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     """``lang, source, term, fresh, n, docs``: occurrences and documents, added
     up as far as a task's memory bound allows; a row without a term for every
     group. ``fresh`` marks one of the rows that a task gives out for a term at a
-    time, which is enough for the dictionary."""
+    time, which is enough for the dictionary. Texts are first dealt out so that
+    a task has texts of few groups and most of a group's terms add up in it; a
+    large group takes several tasks, by the places of its rows, so ``docs`` must
+    have its rows in the same order whenever it is read, as files have."""
     rows = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
+    dealt = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange("lang", "source", "at").drop("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(_BYTES).findall
-        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-        def table() -> Iterator[pa.RecordBatch]:
-            seen: set[bytes] = set()
-            for (l, s), (n, docs_of) in counts.items():
-                terms, k = list(n), len(n) + 1
-                fresh = [t not in seen for t in terms]
-                seen.update(terms)
-                yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([l] * k, pa.string()), "source": pa.array([s] * k, pa.string()), "term": pa.array([*terms, None], pa.binary()).cast(pa.string()),
-                    "fresh": pa.array([*fresh, False], pa.bool_()), "n": pa.array([*n.values(), 0], pa.int64()), "docs": pa.array([*map(docs_of.__getitem__, n), 0], pa.int64()),
-                })
-            counts.clear()
-
-        held = 0
-        for batch in batches:
-            for l, s, t in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                n, docs_of = counts.setdefault((l, s), (Counter(), Counter()))
-                before = len(n)
-                found = find(t.translate(_FOLD))
-                n.update(found)
-                docs_of.update(set(found))
-                held += len(n) - before + 1
-                if held > TERMS_AT_ONCE:
-                    yield from table()
-                    held = 0
-        yield from table()
+        held: list[pa.Table] = []
+        for part in slices(batches, "text", TEXT_AT_ONCE):
+            held.append(_counted(part))
+            if sum(x.num_rows for x in held) > TERMS_AT_ONCE:
+                held = [_added(held)]
+                if 2 * held[0].num_rows > TERMS_AT_ONCE:
+                    yield from _marked(held.pop())
+        if held:
+            yield from _marked(_added(held))
 
-    return rows.mapInArrow(run, _PARTS)
+    return dealt.mapInArrow(run, _PARTS)
 
 
 def _chance(n: Column, total: Column, terms: Column) -> Column:
-    """``1 + floor(SCALE * (n + 1) / (total + terms))`` in whole numbers."""
+    """``1 + floor(SCALE * (n + 1) / (total + terms))`` in whole numbers, of longs where the product is one."""
     scaled = F.lit(SCALE).cast("decimal(20,0)") * (n + 1).cast("decimal(18,0)")
-    return F.call_function("div", scaled, (total + terms).cast("decimal(20,0)")).cast("long") + 1
+    large = F.call_function("div", scaled, (total + terms).cast("decimal(20,0)")).cast("long")
+    return F.when(n < LONG_COUNTS, F.call_function("div", F.lit(SCALE).cast("long") * (n + 1), total + terms)).otherwise(large) + 1
 
 
 F_DIV = "(({p} - {q}) * ({p} - {q})) div {q}"
 
 
-def kept_terms(parts: DataFrame, least_docs: int, digest_bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+def kept_terms(parts: DataFrame, least_docs: int, digest_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Counts of the terms in at least ``least_docs`` documents of their language:
-    ``(cells, terms, words)``.
+    ``(cells, words)``.
 
-    ``cells`` has ``lang, source, digest, tag, n``, ``terms`` the language's
-    ``lang, digest, tag, c``; ``tag`` is empty but for digests that two strings
-    share, where it is the string. ``words`` has ``digest, low, high``. Fewer
-    ``digest_bits`` make collisions, which the tests do.
+    ``cells`` has ``lang, source, digest, tag, n``, the language's count ``c`` and
+    ``first``, 1 in one row of a term of a language and 0 in the others; ``tag``
+    is empty but for digests that two strings share, where it is the string.
+    ``words`` has ``digest, low, high``. Rows meet by term once, for the counts of
+    sources and language alike. Fewer ``digest_bits`` make collisions, which the
+    tests do.
     """
     digest = F.xxhash64("term") if digest_bits == 64 else F.xxhash64("term").bitwiseAND(F.lit((1 << digest_bits) - 1))
     coded = parts.where("term is not null").withColumn("digest", digest)
@@ -100,11 +154,13 @@ def kept_terms(parts: DataFrame, least_docs: int, digest_bits: int = 64) -> tupl
         tagged = coded.withColumn("tag", F.lit(""))
     else:
         tagged = coded.join(shared, "digest", "left").withColumn("tag", F.when(F.col("split"), F.col("term")).otherwise(""))
-    counted = stored(tagged.groupBy("lang", "source", "digest", "tag").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "cells")
-    terms = counted.groupBy("lang", "digest", "tag").agg(F.sum("n").alias("c"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-    terms = stored(terms.drop("docs"), "terms")
-    cells = stored(counted.drop("docs").join(terms, ["lang", "digest", "tag"]), "kept-cells")
-    return cells, terms, words
+    # The digest leads, as sorting by a long is the cheapest. A constant tag among the keys of the partitions would make Spark deal again.
+    term = ["digest", "lang", "tag"]
+    counted = tagged.repartition("digest", "lang").groupBy(*term, "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    one = Window.partitionBy(*term).orderBy("source")
+    whole = one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = counted.withColumns({"c": F.sum("n").over(whole), "docs": F.sum("docs").over(whole), "first": (F.row_number().over(one) == 1).cast("long")})
+    return stored(cells.where(F.col("docs") >= least_docs).drop("docs"), "cells"), words
 
 
 def _pair_sums(cells: DataFrame, groups: DataFrame, spare: DataFrame) -> DataFrame:
@@ -118,7 +174,7 @@ def _pair_sums(cells: DataFrame, groups: DataFrame, spare: DataFrame) -> DataFra
     """
     lists = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "none"))).alias("g")).withColumn("g", F.struct(F.col("g.source").alias("source"), F.col("g.none").alias("none")))
     numbered = groups.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).select("lang", "source", "at")
-    rows = cells.join(numbered, ["lang", "source"]).groupBy("lang", "digest", "tag").agg(F.collect_list(F.struct("at", "p")).alias("x"))
+    rows = cells.join(numbered, ["lang", "source"]).groupBy("digest", "lang", "tag").agg(F.collect_list(F.struct("at", "p")).alias("x"))
     rows = rows.select("lang", F.col("x.at").alias("at"), F.col("x.p").alias("p")).join(lists.select("lang", F.col("g.none").alias("none")), "lang")
     blocks = F.sequence(F.lit(0), F.floor((F.size("none") - 1) / SOURCES_AT_ONCE).cast("int"))
     rows = rows.withColumn("block", F.explode(blocks))
@@ -182,8 +238,8 @@ def divergence(
     the result itself; no other step emits pairs.
     """
     parts = stored(term_parts(docs, text, lang, source), "parts")
-    cells, terms, words = kept_terms(parts, least_docs, digest_bits)
-    of_lang = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("c").alias("total"))
+    cells, words = kept_terms(parts, least_docs, digest_bits)
+    of_lang = cells.groupBy("lang").agg(F.sum("first").alias("v"), F.sum("n").alias("total"))
     of_group = cells.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     every = parts.select("lang", "source").distinct().join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left")
     every = stored(every.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))), "groups")

@@ -8,7 +8,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from assay.llm import divergence, induced, repeats, turns
 from tests.llm.conftest import ROWS
@@ -255,6 +257,47 @@ def test_divergence_of_odd_rows(odd, empty):
     assert divergence.divergence(empty).count() == 0
 
 
+def test_terms_of_a_group_add_up_in_few_tasks(llm_spark):
+    """Texts of eight groups lie in all of twelve partitions."""
+    words = [f"w{'abcdefghij'[i]}" for i in range(10)]
+    rows = [(i, "en", f"s{i // 12 % 8}", " ".join(words)) for i in range(12 * 96)]
+    df = llm_spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").repartitionByRange(12, "doc_id")
+    parts = divergence.term_parts(df, "text", "lang", "source").collect()
+    tasks = int(llm_spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(parts) <= (8 + min(tasks, 12)) * 11 < 12 * 8 * 11
+    found = Counter()
+    for r in parts:
+        found[r["source"], r["term"]] += r["n"]
+        assert r["n"] == r["docs"] and (r["term"] is None) == (r["n"] == 0)
+    assert found == Counter({(f"s{s}", w): 144 if w else 0 for s in range(8) for w in [*words, None]})
+
+
+def test_terms_of_texts_side_by_side():
+    """Texts lie in one run of bytes; a term ends with its text."""
+    rng = random.Random(7)
+    texts = ["", "ab", "cd", "", "Ab1\x00\x7f", "\u00fcber\u00dc", "z", " ", "\U0001f600x", "@[`{Az"] + ["".join(rng.choices("aZ\u00e9\u8a9e 1-", k=rng.randrange(12))) for _ in range(300)] + [""]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for part in (pa.array(texts), pa.array(texts).slice(3, 40), pa.array(["", ""]), pa.array(["1"]), pa.array(["x" * 70_000]), pa.array(["a", "b"], pa.large_string())):
+        terms, of = divergence._terms_of(part)
+        want = [(i, t) for i, text in enumerate(part.to_pylist()) for t in re.findall(divergence.TERM, text.translate(lower))]
+        assert list(zip(of.tolist(), terms.cast(pa.string()).to_pylist())) == want
+
+
+def test_divergence_of_texts_in_slices(llm_spark, monkeypatch):
+    rows = divergent_rows()
+    for name, value in (("TEXT_AT_ONCE", 20), ("TERMS_AT_ONCE", 30), ("ROWS_AT_ONCE", 7)):
+        monkeypatch.setattr(divergence, name, value)
+    df = llm_spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    assert sorted(map(tuple, divergence.divergence(df).collect())) == brute_divergence(rows)
+
+
+def test_chances_beyond_long_products(llm_spark):
+    counts = [0, 5, divergence.LONG_COUNTS - 1, divergence.LONG_COUNTS, divergence.LONG_COUNTS + 1, 10**12]
+    df = llm_spark.createDataFrame([(n, 3 * n + 1, 7) for n in counts], "n long, total long, v long")
+    got = df.select("n", divergence._chance(F.col("n"), F.col("total"), F.col("v")).alias("p")).collect()
+    assert {r["n"]: r["p"] for r in got} == {n: 1 + 10**9 * (n + 1) // (3 * n + 8) for n in counts}
+
+
 def test_every_operator_is_registered():
     """A broken import inside the subpackage would leave them out without a word."""
     import __spark_entry__ as entry
