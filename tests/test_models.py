@@ -161,6 +161,48 @@ def test_trees_equal_exhaustive_search():
     assert np.array_equal(packed.leaf_of(x, np.zeros(60)), nodes.leaf_of(x, np.zeros(60)))
 
 
+def test_categories_are_counted_not_sorted(monkeypatch):
+    """Every split is the best of the drawn features, or the next that splits; only the column of many values is ordered."""
+    rng = np.random.default_rng(31)
+    n, trees, per_split = 400, 3, 2
+    codes = [rng.integers(0, k, n) for k in (5, 7)]
+    x = np.column_stack([rng.normal(size=n), (rng.random(n) < 0.2) * 3.0 - 1, np.full(n, 4.0)] + [(c == v) * 1.0 for c in codes for v in range(c.max() + 1)])
+    y = ((codes[0] == 2) ^ (rng.random(n) < 0.3)).astype(float)
+    values, weights = np.eye(2)[y.astype(int)], [rng.poisson(1, n) * rng.uniform(0.5, 2, n) for _ in range(trees)]
+    sorted_ = []
+    real = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *r, **k: (sorted_.append(np.size(a)), real(a, *r, **k))[1])
+    nodes = forest.grow(x, y, values, weights, forest.tree_seeds(np.arange(trees), 1), per_split)
+    monkeypatch.undo()
+    assert sorted_ == [n]
+
+    def gain(w, rows, left):
+        return sum(((w[m] @ values[m]) ** 2).sum() / w[m].sum() for m in (rows[left], rows[~left]))
+
+    looked = 0
+    for t, w in enumerate(weights):
+        open_ = [(t, np.flatnonzero(w > 0), forest.tree_seeds(np.array([t]), 1))]
+        while open_:
+            at, rows, seed = open_.pop()
+            assert np.allclose(nodes.value[at], (w[rows] @ values[rows]) / w[rows].sum())
+            best = {}
+            for f in range(x.shape[1]):
+                for cut in np.unique(x[rows, f])[:-1]:
+                    best[f] = max(best.get(f, -1.0), gain(w, rows, x[rows, f] <= cut))
+            if len(set(y[rows])) == 1 or not best:
+                assert nodes.feature[at] == -1
+                continue
+            ranks, f = forest.feature_ranks(seed, x.shape[1])[0], nodes.feature[at]
+            drawn = [g for g in best if ranks[g] < per_split]
+            left = x[rows, f] <= nodes.threshold[at]
+            assert f in drawn if drawn else f == min(best, key=lambda g: ranks[g])
+            assert gain(w, rows, left) == pytest.approx(max(best[g] for g in drawn or [f]))
+            looked += 1
+            for side, mine in ((0, left), (1, ~left)):
+                open_.append((nodes.left[at] + side, rows[mine], forest.child_seeds(seed, side)))
+    assert looked > 100
+
+
 def prepared(spark, x, y, weight=None):
     rows = [(i * 7919 + 13, float(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y))]
     df = spark.createDataFrame(rows, "_row long, _label double, x array<double>")
@@ -457,6 +499,22 @@ def test_a_forest_meets_the_blocks_in_bundles(spark, monkeypatch):
         assert one.loc[("", 0)] > 0.95 and one.loc["a"].mean() < one.loc["b"].mean() < one.loc[("", 0)]
 
 
+def test_few_rows_go_to_the_trees(spark):
+    """Each task that scores gets a share of the trees instead of all of them; predictions stay."""
+    rng = np.random.default_rng(32)
+    x = rng.normal(size=(600, 2))
+    train = prepared(spark, x, x[:, 0] * x[:, 1] + rng.normal(size=600))
+    model = forest.fit_forest(train, 24, 1)
+    trees, met = sum(size for _, size in model.sizes), []
+    assert trees == model.parts.agg(F.sum(F.octet_length("blob"))).first()[0] and model.bundles() == 1
+    model.meet, meet = lambda *a: (met.append(a[-1]), meet(*a))[1], model.meet
+    few, most = model.transform(train.limit(5)), model.bundle_bytes(5 * 56.0, 8)
+    assert model.bundles(met[0]) > 1 and most < trees / 4 and model.bundle_bytes(1e12, 8) == trees
+    model.bundle_bytes = lambda *a: trees
+    few, alone = few.toPandas(), model.transform(train).toPandas()
+    assert np.allclose(few.set_index("_row")["prediction"], alone.set_index("_row")["prediction"].loc[few["_row"]])
+
+
 def test_training_reads_its_table_a_few_times(spark):
     seen = spark.sparkContext.accumulator(0)
 
