@@ -108,6 +108,19 @@ def test_linear_models_of_all_folds_match_their_closed_forms(spark):
                 assert m.score(fold, penalty) == pytest.approx(r2, abs=1e-8)
 
 
+def test_medians_of_all_folds_come_from_one_count(spark, monkeypatch):
+    """A value is counted once for all folds; narrowing down many values gives the same."""
+    rng = np.random.default_rng(33)
+    pdf = pd.DataFrame({"fold": np.arange(331) % 3, "a": rng.integers(0, 30, 331) / 4, "b": rng.normal(size=331), "none": np.nan, "late": np.where(np.arange(331) % 3 == 1, 5.0, np.nan)})
+    df = clean_input(spark.createDataFrame(pdf, "fold int, a double, b double, none double, late double"))
+    narrowed = linear.fold_medians(df, ["a", "b", "none", "late"], 3, Settings(direct_quantile_values=20))
+    monkeypatch.setattr(linear, "exact_quantiles", None)
+    counted = linear.fold_medians(df, ["a", "b", "none", "late"], 3)
+    for fold in range(-1, 3):
+        want = pdf[pdf["fold"] != fold][["a", "b", "late"]].median().dropna().to_dict()
+        assert counted[fold] == pytest.approx(want) and narrowed[fold] == pytest.approx(want)
+
+
 def test_one_scan_serves_all_folds(spark):
     df = spark.range(100).select((F.col("id") % 5).cast("int").alias("fold"), F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("_label"))
     df.write.mode("overwrite").parquet(path := tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/t")
