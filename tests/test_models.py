@@ -528,6 +528,20 @@ def test_few_rows_go_to_the_trees(spark):
     assert np.allclose(few.set_index("_row")["prediction"], alone.set_index("_row")["prediction"].loc[few["_row"]])
 
 
+def test_clustering_reads_its_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(v):
+        seen.add(1)
+        return float(v % 3 * 50 + v % 7)
+
+    df = spark.range(90).select("id", watched("id").alias("a"), (F.col("id") % 11).cast("double").alias("b"))
+    found = clustering.train_clustering(df, ["a", "b"], ["id"])
+    assert found.trained and found.n_samples == 90 and found.labels.select("cluster").distinct().count() == found.best_k
+    assert seen.value <= 90
+
+
 def test_training_reads_its_table_a_few_times(spark):
     seen = spark.sparkContext.accumulator(0)
 
