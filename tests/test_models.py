@@ -1,4 +1,5 @@
 import tempfile
+import threading
 
 import numpy as np
 import pandas as pd
@@ -553,3 +554,13 @@ def test_training_reads_its_table_a_few_times(spark):
     df = spark.range(200).select("id", (F.col("id") % 50).cast("double").alias("a"), watched("id").alias("y"))
     assert supervised.train_regression(df, "y", ["a"], ["id"], Settings(forest_trees=2), importance=False).trained
     assert seen.value <= 600
+
+
+def test_dispatched_models_train_side_by_side(spark, monkeypatch):
+    from catalog import models, registry
+
+    met = threading.Barrier(4, timeout=60)
+    untrained = lambda kind: clustering.ClusterResult(False) if kind == "clustering" else supervised.ModelResult(kind, False)
+    monkeypatch.setattr(models, "select_and_train", lambda df, plan, key, settings: (met.wait(), untrained(plan["problem_type"]))[1])
+    out = registry.QUERIES["e18_dispatch"](spark, "/root/testdata/sf0.001").collect()
+    assert [r["problem_type"] for r in out] == ["regression", "classification", "clustering", "descriptive"]
