@@ -1,3 +1,4 @@
+import glob
 import tempfile
 import threading
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from assay.functions import lineage
 from assay.functions.columns import clean_input
 from assay.operators import clustering, explain, features, forest, linear, supervised
 from assay.settings import Settings
@@ -529,6 +531,22 @@ def test_few_rows_go_to_the_trees(spark):
     assert np.allclose(few.set_index("_row")["prediction"], alone.set_index("_row")["prediction"].loc[few["_row"]])
 
 
+def test_forests_of_folds_leave_no_files(spark):
+    """Working tables of a fold go with its score; packed trees take about nine bytes a node."""
+    held = lambda: {p for name in ("forest", "scored") for p in glob.glob(f"{lineage._checkpoint_folder(spark).removeprefix('file:')}/{name}-*")}
+    before = held()
+    df = spark.range(120).select("id", (F.col("id") % 50).cast("double").alias("a"), (F.col("id") % 7 * 3 + F.col("id") % 50).cast("double").alias("y"))
+    result = supervised.train_regression(df, "y", ["a"], ["id"], Settings(forest_trees=3), importance=False)
+    assert "RandomForest" in {r["model"] for r in result.cv_scores.collect()}
+    assert len(held() - before) == (result.best_model == "RandomForest")
+    x = np.random.default_rng(35).normal(size=(300, 2))
+    nodes = forest.grow(x, x[:, 0], x[:, :1], [np.ones(300)] * 2, forest.tree_seeds(np.arange(2), 1), 2)
+    again = forest.Nodes.unpack(nodes.pack())
+    assert len(nodes.pack()) < 9 * len(nodes.feature) + 40 and np.array_equal(again.feature, nodes.feature)
+    inner = nodes.feature >= 0
+    assert np.array_equal(again.left[inner], nodes.left[inner]) and np.array_equal(again.value[~inner], nodes.value[~inner])
+
+
 def test_clustering_reads_its_table_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
